@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import p1_history, p2_near
-from folioscope.plans.materialize import shared_dir
+from folioscope.llm import p1_history, p2_near, p5_neighbours
+from folioscope.plans.materialize import materialize, shared_dir
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -38,10 +38,30 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_near.near_groups(p2_near.passages(_read(spark, sf, "chunks"), _read(spark, sf, "parsed_sections")))
 
 
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(p5_neighbours.valid_points(_read(spark, sf, "vector_points").select("point_id", "embedded_at", "vector")), "valid")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_neighbours.neighbour_pairs(p5_neighbours.nearest(_points(spark, sf)))
+
+
+def p5_neighbours_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_neighbours.nearest(_points(spark, sf))
+
+
+def p5_missed_share(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    return p5_neighbours.recall(p5_neighbours.nearest(points), p5_neighbours.brute_force(points))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_last_batch": p1_last_batch,
     "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours_of_all,
+    "p5_missed_share": p5_missed_share,
 }
 
 ORACLES: dict[str, str] = {}
