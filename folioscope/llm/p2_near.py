@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import minhash
-from folioscope.llm.simjoin import JoinParams, bucket_count, copies, join_links, postings, shingle_levels
+from folioscope.llm.simjoin import JoinParams, _of_ids, _with_both, bucket_count, copies, join_links, postings, shingle_levels
 from folioscope.operators.components import connected_components
 from folioscope.plans.materialize import broadcast_if_small, materialize
 
@@ -41,10 +41,8 @@ def bayes_pruned(pairs: DataFrame, texts: DataFrame, p: JoinParams, n_hashes: in
     """The candidate pairs ``(a, b)`` whose MinHash values, compared ``step`` by ``step``, never rule them out."""
     rounds = [(n, least_matches(n, p.threshold, tolerance)) for n in range(step, n_hashes + 1, step)]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = minhash(batch.column(1).to_pylist(), p.shingle, n_hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "sig"])
+    def sign(rows: list) -> pa.Array:
+        return pa.array([x.tobytes() for x in minhash(rows, p.shingle, n_hashes)], pa.binary())
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +53,8 @@ def bayes_pruned(pairs: DataFrame, texts: DataFrame, p: JoinParams, n_hashes: in
                 live = live[same[live] >= least]
             yield batch.select([0, 1]).take(pa.array(live))
 
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    signed = materialize(texts.select("id", "text").join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(sign, "id bigint, sig binary").dropDuplicates(["id"]), "signatures")
-    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint"), "pruned")
+    both = _with_both(pairs, _of_ids(pairs, texts, sign, "binary", "signatures"))
+    return materialize(both.select("a", "b", "xa", "xb").mapInArrow(prune, "a bigint, b bigint"), "pruned")
 
 
 def near_groups(records: DataFrame, p: JoinParams = NEAR, min_words: int = MIN_WORDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -71,7 +67,6 @@ def near_groups(records: DataFrame, p: JoinParams = NEAR, min_words: int = MIN_W
     words = F.size(F.split(F.trim(F.regexp_replace("text", "(?U)[\\s\\x1c-\\x1f]+", " ")), " "))
     records = records.where(F.col("text").isNotNull() & F.col("record_id").isNotNull() & (words >= min_words))
     records = records.select("record_kind", "record_id", F.xxhash64("record_kind", "record_id").alias("id"), "text")
-    # the kind goes into the text as its own first word would not: it salts the shingles through the id space
     out = None
     for kind in ("chunk", "section"):
         own = records.where(F.col("record_kind") == kind)

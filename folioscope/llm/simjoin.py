@@ -210,22 +210,58 @@ def candidates(posted: DataFrame, p: JoinParams) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(probe, "a bigint, b bigint, hot boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs whose whole shingle sets have the threshold's similarity or more."""
+def _of_ids(pairs: DataFrame, texts: DataFrame, make, kind: str, label: str) -> DataFrame:
+    """``(id, x)`` with what ``make`` gives for each text that occurs in ``pairs``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1).to_pylist()
             for a, b in passes(rows):
-                _, s, n = shingles(rows[a:b], p.shingle)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(s.view(np.int64)))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], make(rows[a:b])], names=["id", "x"])
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    own = texts.select("id", "text").join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
-    own = materialize(own, "sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+    return materialize(texts.select("id", "text").join(broadcast_if_small(wanted), "id", "left_semi").mapInArrow(each, f"id bigint, x {kind}"), label)
+
+
+def _with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    own = own.dropDuplicates(["id"])
+    return pairs.join(own.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(own.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+
+
+def bounded(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle counts in 256 hash groups allow the overlap that the threshold asks for."""
+
+    def profile(rows: list) -> pa.Array:
+        of, s, n = shingles(rows, p.shingle)
+        counts = np.zeros((len(rows), 256), np.int64)
+        np.add.at(counts, (of, (s >> np.uint64(40)).astype(np.int64) & 255), 1)
+        small = np.minimum(counts, 255).astype(np.uint8)
+        return pa.array([np.int32(k).tobytes() + x.tobytes() for k, x in zip(n, small, strict=True)], pa.binary())
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 260) for c in (2, 3))
+            need = _least(p.threshold / (1 + p.threshold), x[:, :4].copy().view(np.int32)[:, 0].astype(np.int64) + y[:, :4].copy().view(np.int32)[:, 0])
+            x, y = x[:, 4:], y[:, 4:]
+            ok = (np.minimum(x, y).sum(1, dtype=np.int64) >= need) | (x == 255).any(1) | (y == 255).any(1)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    both = _with_both(pairs, _of_ids(pairs, texts, profile, "binary", "profiles"))
+    return materialize(both.select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint"), "bounded")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """``(a, b, similarity)`` of the pairs whose whole shingle sets have the threshold's similarity or more.
+
+    Shingles are compared as 32-bit hashes: two different ones of a pair fall together once in millions of pairs.
+    """
+
+    def sets(rows: list) -> pa.Array:
+        _, s, n = shingles(rows, p.shingle)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+
+    both = _with_both(pairs, _of_ids(pairs, texts, sets, "array<int>", "sets"))
+    both = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("shared"), (F.size("xa") + F.size("xb")).alias("total"))
     return both.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= p.threshold)
 
 
@@ -263,7 +299,7 @@ def join_links(posted: DataFrame, texts: DataFrame, p: JoinParams, prune=None) -
     Every near-duplicate pair is among them, except that within a posting list longer than ``p.hot`` pairs whose
     ends are already connected are left out. ``prune`` maps candidate pairs to those worth verifying.
     """
-    keep = prune or (lambda pairs: pairs)
+    keep = prune or (lambda pairs: bounded(pairs, texts, p))
     first = materialize(candidates(posted, p), "candidates")
     links = materialize(verified(keep(first.where("not hot").select("a", "b").distinct()), texts, p), "near")
     hot = first.where("hot")
