@@ -36,14 +36,18 @@ class IndexParams:
 
 
 def valid_points(points: DataFrame, dim: int = 64) -> DataFrame:
-    """``(point_id, vector)``: of each id the row with the latest ``embedded_at``, if its vector is valid.
+    """``(id, point_id, vector, h)``: of each id the row with the latest ``embedded_at``, if its vector is valid.
 
     A vector is valid with ``dim`` finite numbers that are not all zero; null ids and null vectors are not. Among
-    rows of one id and time the greatest vector counts; a null time comes before all others.
+    rows of one id and time the greatest vector counts; a null time comes before all others. ``id`` numbers the
+    points in the order of ``point_id``; ``h`` is a hash of the vector.
     """
-    last = points.where("point_id is not null").groupBy("point_id").agg(F.max(F.struct("embedded_at", "vector"))["vector"].alias("vector"))
+    # ranges of ids, so that numbers given within them follow the order of the ids
+    rows = points.where("point_id is not null").select("point_id", F.struct("embedded_at", "vector").alias("v")).repartitionByRange("point_id")
+    last = rows.groupBy("point_id").agg(F.max("v")["vector"].alias("vector")).sortWithinPartitions("point_id")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return last.where((F.size("vector") == dim) & ~bad & F.exists("vector", lambda x: x != 0))
+    valid = last.where((F.size("vector") == dim) & ~bad & F.exists("vector", lambda x: x != 0))
+    return materialize(valid.select(F.monotonically_increasing_id().alias("id"), "point_id", "vector", F.xxhash64("vector").alias("h")), "points")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -118,19 +122,18 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
 
 
 def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
-    """``(point_id, neighbour_id, cosine, place)`` of all ``points(point_id, vector)``, each valid and with its own id.
+    """``(id, other, cosine, place)`` of all points that :func:`valid_points` gives.
 
     The ``k`` others of highest cosine (rounded to 6 decimals; ties by smaller id) of ``least`` or more, as far as
     the index finds them. Equal vectors are indexed once and put back exactly: of each set of equal vectors only
     the ``k + 1`` smallest ids can be anyone's neighbours. An empty table gives an empty result.
     """
-    spark = points.sparkSession
-    own = materialize(points.select(F.xxhash64("point_id").alias("id"), "point_id", "vector", F.xxhash64("vector").alias("h")), "points")
+    spark, own = points.sparkSession, points
     n = own.count()
     if not n:
-        return spark.createDataFrame([], "point_id string, neighbour_id string, cosine double, place int")
-    many = own.groupBy("h").agg(F.min(F.struct("point_id", "id"))["id"].alias("rep"), F.count("*").alias("size")).where("size > 1")
-    classes = materialize(own.select("point_id", "id", "h").join(many, "h").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("point_id"))), "classes")
+        return spark.createDataFrame([], "id bigint, other bigint, cosine double, place int")
+    many = own.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    classes = materialize(own.select("id", "h").join(many, "h").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("id"))), "classes")
     distinct = own.join(broadcast_if_small(classes.where("id <> rep").select("id")), "id", "left_anti")
 
     wanted = min(p.max_pivots, max(32, math.ceil(p.pivots_per_root * math.sqrt(n))))
@@ -159,10 +162,10 @@ def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     found = placed.groupBy("pivot", "part").applyInArrow(search, "id bigint, other bigint, cosine double")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     found = materialize(found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= p.k + 3).drop("r"), "found")
-    return _with_copies(found, own.select("id", "point_id"), classes, p)
+    return _with_copies(found, classes, p)
 
 
-def _with_copies(found: DataFrame, names: DataFrame, classes: DataFrame, p: IndexParams) -> DataFrame:
+def _with_copies(found: DataFrame, classes: DataFrame, p: IndexParams) -> DataFrame:
     """Neighbours between representatives carried over to all ids."""
     few = classes.where(F.col("nth") <= p.k + 1)
     # the other end: the first ids of its class
@@ -172,44 +175,51 @@ def _with_copies(found: DataFrame, names: DataFrame, classes: DataFrame, p: Inde
     reach = reach.join(members, "id", "left").select(F.coalesce("copy", "id").alias("id"), "other", "cosine")
     within = classes.select("id", "rep").join(few.select("rep", F.col("id").alias("other")), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
     reach = reach.unionByName(within)
-    reach = reach.join(names.select("id", "point_id"), "id").join(names.select(F.col("id").alias("other"), F.col("point_id").alias("neighbour_id")), "other")
-    rank = Window.partitionBy("point_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return reach.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= p.k).select("point_id", "neighbour_id", "cosine", "place")
+    rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    return reach.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= p.k).select("id", "other", "cosine", "place")
+
+
+def named(rows: DataFrame, points: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with each of the id columns that ``columns`` names given back as ``point_id`` under the new name."""
+    for old, new in columns.items():
+        rows = rows.join(points.select(F.col("id").alias(old), F.col("point_id").alias(new)), old).drop(old)
+    return rows
 
 
-def neighbour_pairs(found: DataFrame) -> DataFrame:
+def neighbour_pairs(found: DataFrame, points: DataFrame) -> DataFrame:
     """``(first_id, other_id)``: each pair of which at least one is a neighbour of the other, once."""
-    return found.select(F.least("point_id", "neighbour_id").alias("first_id"), F.greatest("point_id", "neighbour_id").alias("other_id")).distinct()
+    pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return named(pairs, points, {"a": "first_id", "b": "other_id"}).select("first_id", "other_id")
 
 
 def brute_force(points: DataFrame, p: IndexParams = IndexParams(), every: int = 20, block: int = 8192) -> DataFrame:
     """The true neighbours of the points whose hashed id is divisible by ``every``, against all points, in blocks."""
-    own = points.select(F.xxhash64("point_id").alias("id"), "point_id", "vector")
-    queries = own.where(F.pmod("id", F.lit(every)) == 0)
+    own = points.select("id", "vector", F.xxhash64("point_id").alias("salt"))
+    queries = own.where(F.pmod("salt", F.lit(every)) == 0)
     blocks = max(1, math.ceil(queries.count() / block))
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.select(F.lit(True).alias("query"), "point_id", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    there = own.select(F.lit(False).alias("query"), "point_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+    asked = queries.select(F.lit(True).alias("query"), "id", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    there = own.select(F.lit(False).alias("query"), "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
 
     def compare(table: pa.Table) -> pa.Table:
-        is_query, names = table.column("query").to_numpy(), np.asarray(table.column("point_id").to_pylist(), object)
+        is_query, ids = table.column("query").to_numpy(), table.column("id").to_numpy()
         unit = _unit(_matrix(table.column("vector"), p.dim))
         q, m = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        rows = []
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for a in range(0, len(q), 512):
-            cos = np.round(unit[q[a : a + 512]] @ unit[m].T, 6) if len(m) else np.zeros((0, 0))
-            for i, j in zip(*np.nonzero(cos >= p.least), strict=True):
-                rows.append((names[q[a + i]], names[m[j]], float(cos[i, j])))
-        rows = [r for r in rows if r[0] != r[1]]
-        return pa.table({"point_id": pa.array([r[0] for r in rows], pa.string()), "neighbour_id": pa.array([r[1] for r in rows], pa.string()), "cosine": pa.array([r[2] for r in rows], pa.float64())})
-
-    got = asked.unionByName(there).groupBy("b", "part").applyInArrow(compare, "point_id string, neighbour_id string, cosine double")
-    rank = Window.partitionBy("point_id").orderBy(F.desc("cosine"), "neighbour_id")
+            cos = np.round(unit[q[a : a + 512]] @ unit[m].T, 6)
+            i, j = np.nonzero((cos >= p.least) & (ids[q[a : a + 512]][:, None] != ids[m][None, :]))
+            got.append((ids[q[a + i]], ids[m[j]], cos[i, j]))
+        x, y, cos = (np.concatenate(g) for g in zip(*got, strict=True))
+        return pa.table({"id": pa.array(x, pa.int64()), "other": pa.array(y, pa.int64()), "cosine": pa.array(cos, pa.float64())})
+
+    got = asked.unionByName(there).groupBy("b", "part").applyInArrow(compare, "id bigint, other bigint, cosine double")
+    rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return got.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= p.k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row ``(true_neighbours, missed, missed_share)``."""
-    hit = truth.select("point_id", "neighbour_id").join(found.select("point_id", "neighbour_id", F.lit(1).alias("hit")), ["point_id", "neighbour_id"], "left")
+    hit = truth.select("id", "other").join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
     n, got = F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))
     return hit.agg(n.alias("true_neighbours"), (n - got).alias("missed"), F.round((n - got) / F.greatest(n, F.lit(1)), 6).alias("missed_share"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import p1_history, p2_near, p5_neighbours
-from folioscope.plans.materialize import materialize, shared_dir
+from folioscope.plans.materialize import shared_dir
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -39,15 +39,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(p5_neighbours.valid_points(_read(spark, sf, "vector_points").select("point_id", "embedded_at", "vector")), "valid")
+    return p5_neighbours.valid_points(_read(spark, sf, "vector_points").select("point_id", "embedded_at", "vector"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_neighbours.neighbour_pairs(p5_neighbours.nearest(_points(spark, sf)))
+    points = _points(spark, sf)
+    return p5_neighbours.neighbour_pairs(p5_neighbours.nearest(points), points)
 
 
 def p5_neighbours_of_all(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_neighbours.nearest(_points(spark, sf))
+    points = _points(spark, sf)
+    return p5_neighbours.named(p5_neighbours.nearest(points), points, {"id": "point_id", "other": "neighbour_id"})
 
 
 def p5_missed_share(spark: SparkSession, sf: str) -> DataFrame:
