@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import p1_history, p2_near, p5_neighbours
-from folioscope.plans.materialize import shared_dir
+from folioscope.llm import p1_history, p2_near, p3_split, p5_neighbours, p6_pack, p7_mix
+from folioscope.plans.materialize import materialize, shared_dir
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -35,7 +35,43 @@ def p1_last_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_near.near_groups(p2_near.passages(_read(spark, sf, "chunks"), _read(spark, sf, "parsed_sections")))
+    return p2_near.near_groups(_passages(spark, sf))
+
+
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_near.passages(_read(spark, sf, "chunks"), _read(spark, sf, "parsed_sections"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_split.oversized(_passages(spark, sf))
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_split.split(_passages(spark, sf))
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), p7_mix.source_name("source").alias("source"), "text")
+    capacities = {r.pack_name: r.capacity_tokens for r in _read(spark, sf, "pack_sizes").collect()}
+    return p6_pack.pack(p6_pack.sized(docs), capacities)
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf).withColumnRenamed("id", "doc_id")
+
+
+def p6_unused_space(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pack.unused(_packed(spark, sf), _read(spark, sf, "pack_sizes"))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    docs = p7_mix.documents_by_source(_read(spark, sf, "documents"))
+    return p7_mix.select_mix(docs, _read(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p7_actual_shares(spark: SparkSession, sf: str) -> DataFrame:
+    docs, targets = materialize(p7_mix.documents_by_source(_read(spark, sf, "documents")), "tokens"), _read(spark, sf, "mix_targets")
+    return p7_mix.shares(p7_mix.select_mix(docs, targets), docs, targets)
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,9 +97,15 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_last_batch": p1_last_batch,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours_of_all,
     "p5_missed_share": p5_missed_share,
+    "p6_containers": p6_containers,
+    "p6_unused_space": p6_unused_space,
+    "p7_selection": p7_selection,
+    "p7_actual_shares": p7_actual_shares,
 }
 
 ORACLES: dict[str, str] = {}
