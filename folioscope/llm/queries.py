@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import p1_history, p2_near, p3_split, p5_neighbours, p6_pack, p7_mix
+from folioscope.llm import p1_history, p2_near, p3_split, p5_neighbours, p6_pack, p7_mix, p8_encoding
 from folioscope.plans.materialize import materialize, shared_dir
 
 
@@ -93,6 +93,14 @@ def p5_missed_share(spark: SparkSession, sf: str) -> DataFrame:
     return p5_neighbours.recall(p5_neighbours.nearest(points), p5_neighbours.brute_force(points))
 
 
+def _restored(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_encoding.restored(_read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _restored(spark, sf).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_last_batch": p1_last_batch,
@@ -106,6 +114,8 @@ QUERIES = {
     "p6_unused_space": p6_unused_space,
     "p7_selection": p7_selection,
     "p7_actual_shares": p7_actual_shares,
+    "p8_found": p8_found,
+    "p8_restored": _restored,
 }
 
 ORACLES: dict[str, str] = {}
