@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import p1_history, p2_near, p3_split, p5_neighbours, p6_pack, p7_mix, p8_encoding
+from folioscope.llm import p1_history, p2_near, p3_split, p4_scans, p5_neighbours, p6_pack, p7_mix, p8_encoding
 from folioscope.plans.materialize import materialize, shared_dir
 
 
@@ -50,6 +50,15 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return p3_split.split(_passages(spark, sf))
 
 
+def _noise(spark: SparkSession, sf: str) -> DataFrame:
+    titles = _read(spark, sf, "documents").select("doc_id", "title").unionByName(_read(spark, sf, "parsed_documents").select("doc_id", "title"))
+    return p4_scans.scan_noise(_read(spark, sf, "parsed_sections"), titles)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _noise(spark, sf).select("section_id")
+
+
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), p7_mix.source_name("source").alias("source"), "text")
     capacities = {r.pack_name: r.capacity_tokens for r in _read(spark, sf, "pack_sizes").collect()}
@@ -107,6 +116,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_repaired": _noise,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours_of_all,
     "p5_missed_share": p5_missed_share,
