@@ -1,4 +1,7 @@
 """The registered queries of the engine itself, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscope.plans import metadata
+
+_ALL = [metadata.query]
+QUERIES: dict = {name: q for r in _ALL for name, q in r.queries.items()}
+ORACLES: dict = {name: q for r in _ALL for name, q in r.sql.items()}
