@@ -27,7 +27,8 @@ ASSUMED = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250
 RIGHT = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "mac_roman", "cp866")
 LOST = "�"
 #: White-space separated words that hold a character beyond ASCII; no-break spaces may be halves of letters.
-ODD_WORD = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+ODD_WORD = re.compile(r"(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+")
+_SEPARATORS = bytes.maketrans(bytes(range(0x20)), b" " * 0x20)
 DIGITS = str.maketrans("123456789", "000000000")
 
 
@@ -74,7 +75,10 @@ def decode(data: bytes, codec: str) -> str | None:
 
 
 def odd_words(text: str | None) -> list[str]:
-    return ODD_WORD.findall(text) if text and not text.isascii() else []
+    """What ``ODD_WORD`` finds, by way of bytes: these split at ASCII blanks alone, and much faster."""
+    if not text or text.isascii():
+        return []
+    return [w.decode() for w in text.encode("utf-8", "replace").translate(_SEPARATORS).split(b" ") if not w.isascii()]
 
 
 def _pairs(word: str) -> Iterator[str]:
@@ -195,13 +199,11 @@ class Repairer:
 
     def text(self, text: str | None) -> tuple[int, str | None]:
         """The number of garbled words in ``text``, and the text with what can be restored."""
-        found = list(ODD_WORD.finditer(text)) if text and not text.isascii() else []
-        if not found:
+        if not any(self.way(w.translate(DIGITS)) for w in odd_words(text)):
             return 0, text
+        found = list(ODD_WORD.finditer(text))
         ways = [self.way(m.group().translate(DIGITS)) for m in found]
         n = sum(map(bool, ways))
-        if not n:
-            return 0, text
         out, at = [], 0
         for i, (m, way) in enumerate(zip(found, ways, strict=True)):
             word = m.group()
