@@ -103,7 +103,7 @@ scored AS (SELECT f.query_id, f.point_id, k.doc_id, k.record_type, c.classificat
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS INTEGER) AS place FROM scored QUALIFY place <= 30)"""
 
 
-@query("r10_fused", f"{_HITS[:-1]} SELECT query_id, point_id, round(score, 10) AS score FROM fused".replace(", kind AS", ", kind AS"))
+@query("r10_fused", f"{_HITS[:-1]} SELECT query_id, point_id, round(score, 10) AS score FROM fused")
 def fused(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(spark, sf)
     found = r.fused(r.lanes(_asked(spark, sf, points), points, _texts(spark, sf)))
@@ -124,7 +124,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("r13_reranked", f"""{_SCORED},
-texts AS (SELECT t.*, coalesce(kd.title, '') AS q, CASE WHEN t.record_type = 'chunk' THEN c.chunk_text ELSE d.title END AS text, count(*) OVER (PARTITION BY query_id) AS alone FROM top t JOIN documents d ON d.doc_id = t.doc_id LEFT JOIN {CHUNKS} c ON c.chunk_id = t.point_id AND t.record_type = 'chunk' JOIN kind kd USING (query_id)),
+texts AS (SELECT t.* EXCLUDE (place), coalesce(kd.title, '') AS q, CASE WHEN t.record_type = 'chunk' THEN c.chunk_text ELSE d.title END AS text, count(*) OVER (PARTITION BY query_id) AS alone FROM top t JOIN documents d ON d.doc_id = t.doc_id LEFT JOIN {CHUNKS} c ON c.chunk_id = t.point_id AND t.record_type = 'chunk' JOIN kind kd USING (query_id)),
 s AS (SELECT *, CASE WHEN alone = 1 THEN score ELSE 1 / (1 + exp(-(len(list_intersect({_WORDS.format(c='q')}, coalesce({_WORDS.format(c="coalesce(text, '')")}, []))) * 8.0 / greatest(len({_WORDS.format(c='q')}), 1) - 4.0))) END AS s FROM texts)
 SELECT query_id, point_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS INTEGER) AS place, round(s, 8) AS score FROM s QUALIFY place <= 10""")
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
