@@ -30,9 +30,10 @@ def near_duplicate_groups(docs: DataFrame, order: list[str], p: JoinParams = NEA
     A group is connected through pairs of similarity ``p.threshold`` or more; the first is the least by ``order``
     and ``id``. Texts of fewer than ``p.shingle`` words (null and empty ones too) belong to no group. Copies are
     set aside by hash first, so that a text that makes up a third of all rows is joined once; repeated rows of one
-    id count once. An empty table gives an empty result.
+    id count once (of different texts under one id each may link it); rows of null id are left out; an empty table
+    gives an empty result; other columns are not looked at.
     """
-    docs = docs.select("id", "text", *order)
+    docs = docs.where("id is not null").select("id", "text", *order)
     same = materialize(copies(docs.where(_enough_words(p)), order), "copies")
     single = docs.join(broadcast_if_small(same.select("id")), "id", "left_anti")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(single, p))
@@ -79,13 +80,15 @@ class HistoryIndex:
     def _posted(self, batch: DataFrame, fresh: bool) -> DataFrame:
         return postings(batch, self.levels, self.p, self.buckets, fresh, drop_unique=False)
 
-    def probe(self, batch: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    def probe(self, batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
         """``(id, duplicate_of, matched_by)`` for each document of ``batch`` that repeats an accepted or an earlier one of the batch.
 
         ``batch(id, text, raw, norm, seq)`` in order of ``seq``; ``accepted(id, text)`` gives the history's texts, or
         None for an empty history. Equal raw hashes go before equal normalized ones, these before near-duplicate
         texts; null hashes match nothing. ``duplicate_of`` is the first document of the group that is matched.
+        Rows of null id are left out; null, empty and very short texts can only match by hash.
         """
+        batch = batch.where("id is not null")
         texts = batch.select("id", "text")
         posted = self._posted(texts, True)
         known = None

@@ -89,7 +89,8 @@ def too_long(records: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
 def split(records: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
     """``(record_kind, record_id, piece, start, own_start, end, n_words, text)`` of every text beyond the limits.
 
-    Texts within the limits (null and empty ones too) give no row; repeated rows of one id give its pieces once.
+    Texts within the limits (null and empty ones too) and rows of null id give no row; repeated rows of one id give its pieces
+    once; an empty table gives none.
     ``piece`` counts from 0; positions are code points of the text.
     """
 
@@ -102,7 +103,7 @@ def split(records: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
                     rows += [(kind, key, i, s, a, b, len(text[s:b].split()), text[s:b]) for i, (s, a, b) in enumerate(cut)]
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "piece", "start", "own_start", "end", "n_words", "text"])
 
-    long = too_long(records.select("record_kind", "record_id", "text"), p)
+    long = too_long(records.where("record_id is not null").select("record_kind", "record_id", "text"), p)
     ddl = "record_kind string, record_id string, piece int, start int, own_start int, end int, n_words int, text string"
     return long.mapInPandas(pieces, ddl).dropDuplicates(["record_kind", "record_id", "piece"])
 

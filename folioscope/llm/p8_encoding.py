@@ -285,10 +285,11 @@ def restored(docs: DataFrame, p: RepairParams = RepairParams()) -> DataFrame:
     """``(id, n_garbled, restored)`` of every text of ``docs(id, text)`` with ``least_words`` garbled words or more.
 
     ``restored`` is the text with each garbled word taken back as far as possible: words that lost characters to
-    U+FFFD are looked up in the corpus. Null, empty and plain ASCII texts give no row; repeated rows stay rows.
+    U+FFFD are looked up in the corpus. Null, empty and plain ASCII texts and rows of null id give no row; repeated rows
+    stay rows; an empty table gives none.
     The ways of garbled words are broadcast if there are at most a million of them; else each task searches anew.
     """
-    context = docs.sparkSession.sparkContext
+    docs, context = docs.where("id is not null").select("id", "text"), docs.sparkSession.sparkContext
     counted = odd_word_counts(docs)
     model = context.broadcast(corpus_model(counted, p))
     ways = context.broadcast(garbled_ways(counted, model, p))

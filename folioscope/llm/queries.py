@@ -129,4 +129,12 @@ QUERIES = {
     "p8_restored": _restored,
 }
 
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_LONG = f"length(text) > 3000 OR len(list_filter(string_split_regex(text, '{_SPACE}'), lambda w: w <> '')) > 320"
+
+#: Only what SQL does quickly on whole tables; the other queries are tested against brute force on small inputs.
+ORACLES: dict[str, str] = {
+    "p3_found": f"""
+SELECT DISTINCT 'chunk' AS record_kind, chunk_id AS record_id FROM (SELECT chunk_id, chunk_text AS text FROM chunks) WHERE {_LONG}
+UNION ALL SELECT DISTINCT 'section', section_id FROM parsed_sections WHERE {_LONG}""",
+}
