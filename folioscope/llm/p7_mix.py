@@ -91,7 +91,8 @@ def select_mix(docs: DataFrame, targets: DataFrame, total: float | None = None,
     of no token, of null id and of no target source are left out; repeated rows of one id are separate documents.
     """
     goals = {r.source: r for r in targets.collect()}  # the fixed table of targets
-    docs = materialize(docs.where("n_tokens > 0 and id is not null").where(F.col("source").isin(*goals)), "sources")
+    docs = docs.select("source", "id", "n_tokens").where("n_tokens > 0 and id is not null").where(F.col("source").isin(*goals))
+    docs = materialize(docs, "sources")
     sums = {r.source: (r.tokens, r.docs) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     total, weights, _ = mix_weights({s: t for s, (t, _) in sums.items()}, {s: r.target_share for s, r in goals.items()}, {s: r.max_repeats for s, r in goals.items()}, total)
     spark = docs.sparkSession
