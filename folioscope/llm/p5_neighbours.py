@@ -27,11 +27,11 @@ class IndexParams:
     k: int = 5
     least: float = 0.8
     dim: int = 64
-    pivots_per_root: float = 1.25
+    pivots_per_root: float = 0.8
     max_pivots: int = 8192
-    order: int = 6
-    posted: int = 4
-    rerank: int = 64
+    order: int = 8
+    posted: int = 5
+    rerank: int = 256
     file_rows: int = 16384
 
 
@@ -92,7 +92,7 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
     single = unit.astype(np.float32)
     used, local = np.unique(orders, return_inverse=True)
     local = local.reshape(orders.shape)
-    m_local, weights = local[members], np.arange(width, 0, -1).astype(np.uint8)
+    m_local, m_single, weights = local[members], single[members], np.arange(width, 0, -1).astype(np.uint8)
     table = np.zeros((len(used), len(members)), np.uint8)  # width less the pivot's place in the member's order, 0 if absent
     for k in range(width):
         table[m_local[:, k], np.arange(len(members))] = weights[k]
@@ -110,7 +110,7 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
         score[q[:, None] == members[None, :]] = 0
         c = min(p.rerank, len(members))
         best = np.argpartition(score, len(members) - c, axis=1)[:, len(members) - c :] if c < len(members) else np.broadcast_to(np.arange(c), (len(q), c))
-        near = np.einsum("qd,qcd->qc", single[q], single[members[best]])
+        near = np.take_along_axis(single[q] @ m_single.T, best, 1)
         row, col = np.nonzero((near > p.least - 1e-5) & (np.take_along_axis(score, best, 1) > 0))
         x, y = q[row], members[best[row, col]]
         cos = np.round(np.einsum("pd,pd->p", unit[x], unit[y]), 6)
