@@ -33,12 +33,9 @@ def embedded(rows: DataFrame, text: str, model: Callable[[], Callable[[list[str]
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = model()
         for batch in batches:
-            there = batch.notna()
-            out = pd.Series([None] * len(batch), dtype=object)
-            if there.any():
-                got = embed(batch[there].tolist()).astype(np.float32)
-                out[there.to_numpy()] = list(got)
-            yield out
+            there = batch.notna().to_numpy()
+            got = iter(embed(batch[there].tolist()).astype(np.float32)) if there.any() else iter(())
+            yield pd.Series([next(got) if x else None for x in there], dtype=object)
 
     return rows.withColumn("vector", vectors(F.col(text)))
 

@@ -44,7 +44,7 @@ def scan(spark: SparkSession, folders: list[str], patterns: list[str] | None = N
 
 def texts(files: DataFrame) -> DataFrame:
     """``files(content)`` with ``text`` and ``error``: UTF-8, else Latin-1; blank contents are errors."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return files.withColumn("text", text).withColumn("error", F.when(F.col("text").isNull() | (F.regexp_replace("text", "\\s", "") == ""), "no text"))
 
 
