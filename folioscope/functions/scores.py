@@ -33,7 +33,8 @@ def layer_weight(classification: Column, record_type: Column) -> Column:
 def recency_factor(modified: Column, now: Column) -> Column:
     """1 and at most 0.15 more, halved every 90 days of age; 1 for a null time; no age below 0."""
     days = F.greatest((F.unix_micros(now) - F.unix_micros(modified)) / 86400e6, F.lit(0.0))
-    return F.coalesce(1.0 + MOST_BOOST * F.pow(F.lit(2.0), -days / HALF_LIFE_DAYS), F.lit(1.0))
+    # greatest() passes over nulls, so a missing time is told apart first
+    return F.when(modified.isNull() | now.isNull(), F.lit(1.0)).otherwise(1.0 + MOST_BOOST * F.pow(F.lit(2.0), -days / HALF_LIFE_DAYS))
 
 
 def sigmoid(c: Column) -> Column:

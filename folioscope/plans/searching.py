@@ -98,7 +98,7 @@ _CLASS = """class AS (SELECT query_id, CASE WHEN sp >= nav AND sp >= broad THEN
 _SCORED = f"""{_HITS} {_CLASS}
 scored AS (SELECT f.query_id, f.point_id, k.doc_id, k.record_type, c.classification, f.score
   * CASE c.classification WHEN 'broad' THEN CASE k.record_type WHEN 'document_summary' THEN 1.5 WHEN 'section_summary' THEN 1.3 ELSE 1 END WHEN 'navigational' THEN CASE k.record_type WHEN 'section_summary' THEN 1.4 ELSE 1 END ELSE CASE k.record_type WHEN 'document_summary' THEN 0.7 WHEN 'section_summary' THEN 0.9 ELSE 1 END END
-  * coalesce(1 + 0.15 * pow(2.0, -greatest((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(d.m)) / 86400e6, 0) / 90), 1) AS score
+  * CASE WHEN d.m IS NULL THEN 1 ELSE 1 + 0.15 * pow(2.0, -greatest((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(d.m)) / 86400e6, 0) / 90) END AS score
   FROM fused f JOIN known k USING (point_id) JOIN (SELECT doc_id, title, file_path, {ISO.format(c='modified_at')} AS m FROM documents) d USING (doc_id) JOIN class c USING (query_id)),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS INTEGER) AS place FROM scored QUALIFY place <= 30)"""
 
@@ -183,7 +183,7 @@ def neighbour_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(nxt, ["doc_id", "chunk_order"]).select("point_id", "next_id", F.round(sc.dot(F.col("v"), F.col("w")), 6).alias("cosine"))
 
 
-@query("f11_recency_factors", f"SELECT doc_id, round(coalesce(1 + 0.15 * pow(2.0, -greatest((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(m)) / 86400e6, 0) / 90), 1), 8) AS factor FROM (SELECT doc_id, {ISO.format(c='modified_at')} AS m FROM documents)")
+@query("f11_recency_factors", f"SELECT doc_id, round(CASE WHEN m IS NULL THEN 1 ELSE 1 + 0.15 * pow(2.0, -greatest((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(m)) / 86400e6, 0) / 90) END, 8) AS factor FROM (SELECT doc_id, {ISO.format(c='modified_at')} AS m FROM documents)")
 def recency_factors(spark: SparkSession, sf: str) -> DataFrame:
     factor = sc.recency_factor(t.iso_time(F.col("modified_at")), F.lit(NOW).cast("timestamp"))
     return src.documents(spark, sf).select("doc_id", F.round(factor, 8).alias("factor"))

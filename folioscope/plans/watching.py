@@ -15,7 +15,7 @@ from folioscope.streaming import watch
 
 query = Registry()
 _BURSTS = """
-WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g),
 b AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 7200000000 AS quiet_us, count(*) AS events, arg_max(event_type, (ts, event_type)) AS last_kind FROM i GROUP BY user_id, n)"""
 
@@ -35,12 +35,12 @@ def debounced_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t8_streamed_bursts", f"{_BURSTS} SELECT * FROM b")
 def streamed_bursts(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from a stream of the files, upserted batch by batch."""
+    """The same from a stream of the files, written batch by batch."""
     schema = src.read(spark, sf, "events").schema
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     at = f"{shared_dir(spark)}/bursts-{uuid.uuid4().hex}"
     table = Table(spark, f"{at}/table", ["path", "started"])
-    watch.run_once(watch.debounced(_events(feed), "2 hours", late="40 days"), f"{at}/checkpoint", watch.upsert_sink(table), mode="complete")
+    watch.run_once(watch.debounced(_events(feed), "2 hours", late="40 days"), f"{at}/checkpoint", watch.replace_sink(table), mode="complete")
     return _shown(table.read())
 
 

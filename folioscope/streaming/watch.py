@@ -14,13 +14,14 @@ from folioscope.operators.store import Table
 
 def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """New and rewritten files of supported types below ``folder`` as they come, with their hashes."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder)
+    kinds = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(kinds).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder)
     rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("modificationTime").alias("ts"), F.sha2("content", 256).alias("content_hash"))
     return rows.where(t.file_type(F.col("file_path")).isNotNull()).withColumn("kind", F.lit("modified"))
 
 
 def debounced(events: DataFrame, gap: str = "2 seconds", late: str | None = None) -> DataFrame:
-    """``(path, started, quiet_at, events, last_kind)``: bursts of ``events(path, ts, kind)`` of one path, closed once it is quiet for ``gap``.
+    """``(path, started, quiet_at, events, last_kind)``: bursts of ``events(path, ts, kind)`` of one path, closed once it is quiet for longer than ``gap``.
 
     The same for tables and streams; a stream needs ``late``, the delay after which events are too late to count, and
     in append mode gives a burst only when the watermark has passed its end. Time is the events' own. A null path or
@@ -58,7 +59,10 @@ def known_deletions(events: DataFrame) -> DataFrame:
 
 
 def upsert_sink(table: Table, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts each batch by the table's key: a batch that comes twice changes nothing."""
+    """A ``foreachBatch`` function that upserts each batch by the table's key: a batch that comes twice changes nothing.
+
+    For append and update mode, where a key's last row is its result.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch if prepare is None else prepare(batch)
@@ -68,6 +72,18 @@ def upsert_sink(table: Table, prepare: Callable[[DataFrame], DataFrame] | None =
     return write
 
 
+def replace_sink(table: Table) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for complete mode: each batch is the whole result and becomes the table.
+
+    Bursts need it: a late event may join two of them, and an upsert would keep the row of the second.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        table.write(batch)
+
+    return write
+
+
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Everything that is there, in micro-batches, then stop."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
