@@ -206,9 +206,27 @@ def known_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(dedup.firsts(known, "n", "canonical_doc_id").withColumnRenamed("first", "canonical_doc_id"), "n").where("canonical_doc_id <> doc_id").select("doc_id", "canonical_doc_id")
 
 
-@query("i4_fixed_chunks")
+_FULL = "len(r.held) > 0 AND list_sum(r.sizes) + s.n > 512"
+_KEPT = "len(list_filter(range(1, len(r.sizes) + 1), lambda k: list_sum(r.sizes[-k:]) <= 64))"
+
+
+@query("i4_fixed_chunks", rf"""
+WITH RECURSIVE l AS (SELECT doc_id, section_id, section_order, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0) AS x FROM {SECTIONS}),
+s AS (SELECT section_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM l), sn AS (SELECT *, len(regexp_extract_all(x, '{_TOKEN}')) AS n FROM s),
+r AS (SELECT section_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, CAST([] AS BIGINT[]) AS sizes, CAST(NULL AS VARCHAR) AS out, CAST(NULL AS BIGINT) AS n FROM l
+  UNION ALL SELECT s.section_id, s.i,
+    CASE WHEN {_FULL} THEN list_append(r.held[len(r.held) - {_KEPT} + 1:], s.x) WHEN len(r.held) = 0 AND s.n > 512 THEN r.held ELSE list_append(r.held, s.x) END,
+    CASE WHEN {_FULL} THEN list_append(r.sizes[len(r.sizes) - {_KEPT} + 1:], s.n) WHEN len(r.held) = 0 AND s.n > 512 THEN r.sizes ELSE list_append(r.sizes, s.n) END,
+    CASE WHEN {_FULL} THEN array_to_string(r.held, ' ') WHEN len(r.held) = 0 AND s.n > 512 THEN s.x END,
+    CASE WHEN {_FULL} THEN CAST(list_sum(r.sizes) AS BIGINT) WHEN len(r.held) = 0 AND s.n > 512 THEN s.n END
+  FROM r JOIN sn s ON s.section_id = r.section_id AND s.i = r.i + 1),
+e AS (SELECT section_id, i, out, n FROM r WHERE out IS NOT NULL UNION ALL
+  SELECT section_id, i + 1, array_to_string(held, ' '), len(regexp_extract_all(array_to_string(held, ' '), '{_TOKEN}')) FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY i DESC) AS k FROM r) WHERE k = 1 AND len(held) > 0),
+c AS (SELECT e.section_id, l.doc_id, l.section_order, e.out, e.n, row_number() OVER (PARTITION BY e.section_id ORDER BY e.i) - 1 AS chunk_idx FROM e JOIN l USING (section_id))
+SELECT section_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_order, section_id, chunk_idx) - 1 AS INTEGER) AS chunk_order, CAST(n AS INTEGER) AS token_count, sha256(out) AS text_hash FROM c""")
 def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.fixed_chunks(src.sections(spark, sf))
+    found = chunking.fixed_chunks(src.sections(spark, sf))
+    return found.select("section_id", "chunk_idx", "chunk_order", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
 
 
 @query("i5_semantic_chunks")
