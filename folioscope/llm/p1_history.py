@@ -58,7 +58,7 @@ class HistoryIndex:
     read, to verify them. Appending a batch writes its own postings and members and nothing else.
     """
 
-    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 256):
+    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 96):
         self.spark, self.path, self.p, self.buckets = spark, path, p, buckets
         self._levels = None
 
@@ -118,7 +118,8 @@ class HistoryIndex:
 
     def append(self, batch: DataFrame, found: DataFrame) -> None:
         """Accept ``batch`` with the duplicates that :meth:`probe` found: its postings and members are added."""
-        self._posted(batch.select("id", "text"), False).drop("fresh").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        posted = self._posted(batch.select("id", "text"), False).drop("fresh").repartition("bucket")  # one file a bucket
+        posted.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         first = batch.select("id", "raw", "norm").join(found.select("id", "duplicate_of"), "id", "left")
         first.select("id", "raw", "norm", F.coalesce("duplicate_of", "id").alias("first_id")).write.mode("append").parquet(f"{self.path}/members")
 
