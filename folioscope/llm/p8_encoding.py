@@ -278,7 +278,7 @@ def garbled_ways(counted: DataFrame, model, p: RepairParams = RepairParams(), mo
     found = materialize(spread.mapInArrow(search, "word string, way string"), "ways")
     if found.limit(most + 1).count() > most:
         return None
-    return {r.word: tuple(tuple(e.split(">")) for e in r.way.split("/")) for r in found.toLocalIterator()}
+    return {r.word: tuple(tuple(e.split(">")) for e in r.way.split("/")) for r in found.collect()}
 
 
 def restored(docs: DataFrame, p: RepairParams = RepairParams()) -> DataFrame:

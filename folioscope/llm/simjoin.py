@@ -71,7 +71,7 @@ def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
     ddl = "segment int, counts binary"
     parts = texts.select("text").mapInArrow(count, ddl)
     levels = np.zeros(1 << bits, np.uint8)
-    for row in parts.repartition(16, "segment").mapInArrow(add, ddl).toLocalIterator():
+    for row in parts.repartition(16, "segment").mapInArrow(add, ddl).collect():  # 2**bits bytes at most
         levels[row.segment << seg : (row.segment + 1) << seg] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
     return levels
 
