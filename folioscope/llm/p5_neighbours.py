@@ -121,6 +121,13 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
         yield ids[x[top]], ids[y[top]], cos[top]
 
 
+def _distinct(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, h, rep, size, nth)`` of all members of sets of equal vectors, and the points without all but the first of each set."""
+    many = own.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    classes = materialize(own.select("id", "h").join(many, "h").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("id"))), "classes")
+    return classes, own.join(broadcast_if_small(classes.where("id <> rep").select("id")), "id", "left_anti")
+
+
 def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     """``(id, other, cosine, place)`` of all points that :func:`valid_points` gives.
 
@@ -132,9 +139,7 @@ def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     n = own.count()
     if not n:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double, place int")
-    many = own.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    classes = materialize(own.select("id", "h").join(many, "h").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("id"))), "classes")
-    distinct = own.join(broadcast_if_small(classes.where("id <> rep").select("id")), "id", "left_anti")
+    classes, distinct = _distinct(own)
 
     wanted = min(p.max_pivots, max(32, math.ceil(p.pivots_per_root * math.sqrt(n))))
     sample = distinct.select("id", "vector").orderBy(F.hash("id"), "id").limit(wanted).collect()  # a bounded sample: max_pivots rows at most
@@ -165,8 +170,8 @@ def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     return _with_copies(found, classes, p)
 
 
-def _with_copies(found: DataFrame, classes: DataFrame, p: IndexParams) -> DataFrame:
-    """Neighbours between representatives carried over to all ids."""
+def _with_copies(found: DataFrame, classes: DataFrame, p: IndexParams, asked: DataFrame | None = None) -> DataFrame:
+    """Neighbours between representatives carried over to all ids, or to those of ``asked(id)``."""
     few = classes.where(F.col("nth") <= p.k + 1)
     # the other end: the first ids of its class
     reach = found.join(few.select(F.col("rep").alias("other"), F.col("id").alias("copy")), "other", "left").select("id", F.coalesce("copy", "other").alias("other"), "cosine")
@@ -175,6 +180,8 @@ def _with_copies(found: DataFrame, classes: DataFrame, p: IndexParams) -> DataFr
     reach = reach.join(members, "id", "left").select(F.coalesce("copy", "id").alias("id"), "other", "cosine")
     within = classes.select("id", "rep").join(few.select("rep", F.col("id").alias("other")), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
     reach = reach.unionByName(within)
+    if asked is not None:
+        reach = reach.join(asked, "id", "left_semi")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return reach.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= p.k).select("id", "other", "cosine", "place")
 
@@ -192,30 +199,49 @@ def neighbour_pairs(found: DataFrame, points: DataFrame) -> DataFrame:
     return named(pairs, points, {"a": "first_id", "b": "other_id"}).select("first_id", "other_id")
 
 
+def _best(cos: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the ``k`` greatest of ``cos`` (6 decimals), ties by smaller column; -1 marks what is no candidate."""
+    key = (np.rint(cos * 1e6).astype(np.int64) << 32) - np.arange(cos.shape[1])
+    k = min(k, cos.shape[1])
+    return np.argpartition(key, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
+
+
 def brute_force(points: DataFrame, p: IndexParams = IndexParams(), every: int = 20, block: int = 8192) -> DataFrame:
-    """The true neighbours of the points whose hashed id is divisible by ``every``, against all points, in blocks."""
-    own = points.select("id", "vector", F.xxhash64("point_id").alias("salt"))
-    queries = own.where(F.pmod("salt", F.lit(every)) == 0)
-    blocks = max(1, math.ceil(queries.count() / block))
+    """The true neighbours of the points whose hashed id is divisible by ``every``, against all points, in blocks.
+
+    Distinct vectors are compared; each task keeps the ``k`` best of a query, and copies are put back at the end.
+    """
+    asked = points.where(F.pmod(F.xxhash64("point_id"), F.lit(every)) == 0).select("id")
+    classes, distinct = _distinct(points)
+    own = distinct.select("id", "vector")
+    reps = asked.join(classes.select("id", "rep"), "id", "left").select(F.coalesce("rep", "id").alias("id")).distinct()
+    queries = own.join(reps, "id", "left_semi")
+    blocks = max(1, math.ceil(reps.count() / block))
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.select(F.lit(True).alias("query"), "id", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    sent = queries.select(F.lit(True).alias("query"), "id", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     there = own.select(F.lit(False).alias("query"), "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
 
     def compare(table: pa.Table) -> pa.Table:
         is_query, ids = table.column("query").to_numpy(), table.column("id").to_numpy()
         unit = _unit(_matrix(table.column("vector"), p.dim))
         q, m = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        m = m[np.argsort(ids[m])]
         got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for a in range(0, len(q), 512):
-            cos = np.round(unit[q[a : a + 512]] @ unit[m].T, 6)
-            i, j = np.nonzero((cos >= p.least) & (ids[q[a : a + 512]][:, None] != ids[m][None, :]))
-            got.append((ids[q[a + i]], ids[m[j]], cos[i, j]))
+        for a in range(0, len(q) if len(m) else 0, 256):
+            rows = q[a : a + 256]
+            cos = np.round(unit[rows] @ unit[m].T, 6)
+            cos[(cos < p.least) | (ids[rows][:, None] == ids[m][None, :])] = -1
+            best = _best(cos, p.k)
+            i, j = np.nonzero(np.take_along_axis(cos, best, 1) >= p.least)
+            j = best[i, j]
+            got.append((ids[rows[i]], ids[m[j]], cos[i, j]))
         x, y, cos = (np.concatenate(g) for g in zip(*got, strict=True))
         return pa.table({"id": pa.array(x, pa.int64()), "other": pa.array(y, pa.int64()), "cosine": pa.array(cos, pa.float64())})
 
-    got = asked.unionByName(there).groupBy("b", "part").applyInArrow(compare, "id bigint, other bigint, cosine double")
+    got = sent.unionByName(there).groupBy("b", "part").applyInArrow(compare, "id bigint, other bigint, cosine double")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return got.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= p.k)
+    got = got.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= p.k).drop("r")
+    return _with_copies(got, classes, p, asked)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

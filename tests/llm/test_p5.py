@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.llm import p5_neighbours
 from folioscope.llm.p5_neighbours import IndexParams, brute_force, named, nearest, neighbour_pairs, recall, valid_points
 
 T = datetime.datetime(2020, 1, 1)
@@ -82,3 +83,19 @@ def test_one_point_has_no_neighbour(spark):
     points = valid_points(spark.createDataFrame([("a", T, [1.0] * 64, "x", 1)], SCHEMA))
     assert nearest(points).count() == 0
     assert nearest(points.withColumn("extra", F.lit(1))).columns == ["id", "other", "cosine", "place"]
+
+
+def test_brute_force_sends_k_a_query_and_part(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    rows = {f"n{i:03d}": [float(v) for v in np.float32(centre + rng.normal(scale=0.1, size=64))] for i in range(150)}
+    rows |= {f"c{i:03d}": rows["n007"] for i in range(50)}
+    points = valid_points(table(spark, rows.items()))
+    sent = []
+    real = p5_neighbours._with_copies
+    monkeypatch.setattr(p5_neighbours, "_with_copies", lambda found, *a: sent.append(found) or real(found, *a))
+    truth = named(brute_force(points, every=1), points, {"id": "point_id", "other": "neighbour_id"}).collect()
+    assert {(r.point_id, r.neighbour_id, r.cosine) for r in truth} == {(i, j, c) for i, js in exact(rows).items() for j, c in js}
+    assert len(sent) == 1 and sent[0].select("id").distinct().count() == 150  # copies are no queries
+    cos = np.array([[0.9, 1.0, 1.0, -1.0, 1.0]])
+    assert sorted(p5_neighbours._best(cos, 2)[0]) == [1, 2]
