@@ -40,14 +40,20 @@ def valid_points(points: DataFrame, dim: int = 64) -> DataFrame:
 
     A vector is valid with ``dim`` finite numbers that are not all zero; null ids and null vectors are not. Among
     rows of one id and time the greatest vector counts; a null time comes before all others. ``id`` numbers the
-    points in the order of ``point_id``; ``h`` is a hash of the vector.
+    points in the order of ``point_id``; ``h`` is a hash of the vector at unit length (12 decimals).
     """
     # ranges of ids, so that numbers given within them follow the order of the ids
     rows = points.where("point_id is not null").select("point_id", F.struct("embedded_at", "vector").alias("v")).repartitionByRange("point_id")
     last = rows.groupBy("point_id").agg(F.max("v")["vector"].alias("vector")).sortWithinPartitions("point_id")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = last.where((F.size("vector") == dim) & ~bad & F.exists("vector", lambda x: x != 0))
-    return materialize(valid.select(F.monotonically_increasing_id().alias("id"), "point_id", "vector", F.xxhash64("vector").alias("h")), "points")
+    return materialize(valid.select(F.monotonically_increasing_id().alias("id"), "point_id", "vector", _direction("vector").alias("h")), "points")
+
+
+def _direction(column: str):
+    """A hash that is equal for vectors of one direction, whatever their length."""
+    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.xxhash64(F.transform(column, lambda x: F.rint(x.cast("double") / norm * 1e12).cast("long")))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -86,8 +92,28 @@ def _place(distinct: DataFrame, pivots, p: IndexParams) -> DataFrame:
     return distinct.select("id", "vector").mapInArrow(place, "pivot int, id bigint, orders binary, vector binary")
 
 
+def _lengths(distinct: DataFrame, pivots, p: IndexParams) -> dict[int, int]:
+    """The rows of every file that holds more than ``file_rows``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = pivots.value
+        total, posted = np.zeros(len(base), np.int64), min(p.posted, len(base))
+        for batch in batches:
+            raw = _matrix(batch.column(0), p.dim)
+            for a in range(0, len(raw), 2048):
+                near = _unit(raw[a : a + 2048]).astype(np.float32) @ base.T
+                total += np.bincount(np.argpartition(-near, posted - 1, axis=1)[:, :posted].ravel(), minlength=len(base))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["pivot", "n"])
+
+    counted = distinct.select("vector").mapInArrow(count, "pivot int, n bigint").groupBy("pivot").agg(F.sum("n").alias("n"))
+    return {r.pivot: r.n for r in counted.where(F.col("n") > p.file_rows).collect()}  # max_pivots rows at most
+
+
 def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.ndarray, members: np.ndarray, pivot: int, p: IndexParams) -> Iterator[tuple]:
-    """Neighbours within one inverted file, left out where an earlier pivot of the query already shows them."""
+    """Neighbours within one inverted file, left out where an earlier pivot of the query already shows them.
+
+    Rows are in the order of ``ids``; ties of footrule distance and of cosine go to the smaller id."""
     width, unit = orders.shape[1], _unit(raw)
     single = unit.astype(np.float32)
     used, local = np.unique(orders, return_inverse=True)
@@ -109,12 +135,20 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
         score[seen] = 0
         score[q[:, None] == members[None, :]] = 0
         c = min(p.rerank, len(members))
-        best = np.argpartition(score, len(members) - c, axis=1)[:, len(members) - c :] if c < len(members) else np.broadcast_to(np.arange(c), (len(q), c))
+        ranked = score.astype(np.int64 if len(members) >> 20 else np.int32) * len(members) - np.arange(len(members), dtype=np.int32)
+        best = np.argpartition(ranked, len(members) - c, axis=1)[:, len(members) - c :] if c < len(members) else np.broadcast_to(np.arange(c), (len(q), c))
         near = np.take_along_axis(single[q] @ m_single.T, best, 1)
         row, col = np.nonzero((near > p.least - 1e-5) & (np.take_along_axis(score, best, 1) > 0))
-        x, y = q[row], members[best[row, col]]
+        col = best[row, col]
+        if len(row) > 64 * len(q):  # many near each other: whole rows, of which few are kept
+            cos = np.full((len(q), len(members)), -1.0)
+            cos[row, col] = np.round(unit[q] @ unit[members].T, 6)[row, col]
+            few = _best(cos, p.k + 3)
+            row, col = np.nonzero(np.take_along_axis(cos, few, 1) >= p.least)
+            col = few[row, col]
+        x, y = q[row], members[col]
         cos = np.round(np.einsum("pd,pd->p", unit[x], unit[y]), 6)
-        order = np.lexsort((-cos, x))
+        order = np.lexsort((y, -cos, x))
         x, y, cos = x[order], y[order], cos[order]
         starts = np.searchsorted(x, x)
         top = (np.arange(len(x)) - starts < p.k + 3) & (cos >= p.least)
@@ -146,25 +180,30 @@ def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     pivots = spark.sparkContext.broadcast(_unit(np.array([r.vector for r in sample], np.float32)).astype(np.float32))
     placed = _place(distinct, pivots, p)
 
-    # files are of about the same length, as pivots are drawn from the vectors; a longer one is split by its members
-    expected = n * p.posted / len(sample)
-    shards = max(1, math.ceil(expected / p.file_rows))
-    if shards > 1:
-        placed = placed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # a file longer than file_rows is cut into shards; each pair of shards is a task
+    long = [(f, math.ceil(size / p.file_rows)) for f, size in _lengths(distinct, pivots, p).items()]
+    if long:
+        placed = placed.join(F.broadcast(spark.createDataFrame(long, "pivot int, shards int")), "pivot", "left").fillna(1, ["shards"])
+        placed = placed.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+        placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        placed = placed.select("pivot", "id", "orders", "vector", "shard", F.least("shard", "with").alias("lo"), F.greatest("shard", "with").alias("hi"))
     else:
-        placed = placed.withColumns({"shard": F.lit(0), "part": F.lit(0)})
+        placed = placed.withColumns({c: F.lit(0) for c in ("shard", "lo", "hi")})
 
     def search(table: pa.Table) -> pa.Table:
-        ids, pivot = table.column("id").to_numpy(), table.column("pivot")[0].as_py()
+        table = table.sort_by("id")  # so that ties go by id
+        ids, pivot, shard = table.column("id").to_numpy(), table.column("pivot")[0].as_py(), table.column("shard").to_numpy()
         raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(len(ids), -1)
         orders = np.frombuffer(b"".join(table.column("orders").to_pylist()), np.uint16).reshape(len(ids), -1)
-        members = np.flatnonzero(table.column("shard").to_numpy() == table.column("part")[0].as_py())
-        got = list(_search(ids, orders, raw, np.arange(len(ids)), members, pivot, p)) if len(members) else []
+        lo, hi = (np.flatnonzero(shard == table.column(c)[0].as_py()) for c in ("lo", "hi"))
+        got = []
+        for queries, members in [(lo, hi), (hi, lo)][: 1 + (table.column("lo")[0] != table.column("hi")[0])]:
+            if len(queries) and len(members):
+                got += _search(ids, orders, raw, queries, members, pivot, p)
         x, y, cos = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
         return pa.table({"id": pa.array(x, pa.int64()), "other": pa.array(y, pa.int64()), "cosine": pa.array(cos, pa.float64())})
 
-    found = placed.groupBy("pivot", "part").applyInArrow(search, "id bigint, other bigint, cosine double")
+    found = placed.groupBy("pivot", "lo", "hi").applyInArrow(search, "id bigint, other bigint, cosine double")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     found = materialize(found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= p.k + 3).drop("r"), "found")
     return _with_copies(found, classes, p)

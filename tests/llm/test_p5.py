@@ -99,3 +99,25 @@ def test_brute_force_sends_k_a_query_and_part(spark, monkeypatch):
     assert len(sent) == 1 and sent[0].select("id").distinct().count() == 150  # copies are no queries
     cos = np.array([[0.9, 1.0, 1.0, -1.0, 1.0]])
     assert sorted(p5_neighbours._best(cos, 2)[0]) == [1, 2]
+
+
+def test_ties_within_a_file_go_by_id():
+    rng = np.random.default_rng(2)
+    raw = np.float32(np.ones(64) + rng.normal(scale=1e-7, size=(900, 64)))
+    orders = np.tile(np.arange(8, dtype=np.uint16), (900, 1))
+    ids, every = np.arange(900) * 3, np.arange(900)
+    got = [np.concatenate(x) for x in zip(*p5_neighbours._search(ids, orders, raw, every, every, 0, IndexParams()), strict=True)]
+    for i in (0, 3, 897, 2697):
+        assert got[1][got[0] == i][:5].tolist() == [j for j in (0, 3, 6, 9, 12, 15) if j != i][:5]
+
+
+def test_one_direction_is_one_vector_and_long_files_are_cut(spark, vectors, monkeypatch):
+    rows = {i: [x * 2.0 ** (n % 5) for x in v] for n, (i, v) in enumerate(vectors.items())}
+    points = valid_points(table(spark, rows.items()))
+    assert points.select("h").distinct().count() == 480
+    sizes, real = [], p5_neighbours._lengths
+    monkeypatch.setattr(p5_neighbours, "_lengths", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    p = IndexParams(file_rows=60)  # the average is 480 * 5 / 32 = 75, the longest far beyond
+    whole, cut = ({tuple(r) for r in nearest(points, q).collect()} for q in (IndexParams(), p))
+    assert not sizes[0] and sizes[1] and min(sizes[1].values()) > 60 and cut >= whole
+    assert {r[:2] for r in cut} == {r[:2] for r in nearest(valid_points(table(spark, vectors.items())), p).collect()}
