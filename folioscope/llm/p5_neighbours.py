@@ -2,14 +2,15 @@
 
 A vector is represented by the order of its nearest pivots (a bounded sample of the vectors). It is posted in the
 inverted files of its first ``posted`` pivots; within a file, vectors are ranked for each other by the footrule
-distance of their pivot orders, and the best ``rerank`` of each are compared by exact cosine.
+distance of their pivot orders, and the best of each, a share of the file, are compared by exact cosine. Files grow
+with the root of the number of vectors, and the rerank with them; ``posted`` grows by one for each tenfold.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from folioscope.plans.materialize import broadcast_if_small, materialize
 @dataclass(frozen=True)
 class IndexParams:
     """``pivots_per_root`` times the root of the number of vectors are pivots, ``max_pivots`` at most (the bound of
-    what is broadcast); orders of ``order`` pivots; files longer than ``file_rows`` are split."""
+    what is broadcast); orders of ``order`` pivots; files longer than ``file_rows`` are split. ``rerank_share`` of a
+    file is reranked, ``rerank`` rows at least; ``posted`` holds up to ``posted_points`` vectors (:meth:`at`)."""
 
     k: int = 5
     least: float = 0.8
@@ -32,8 +34,18 @@ class IndexParams:
     order: int = 8
     posted: int = 5
     rerank: int = 256
+    rerank_share: float = 1.0
+    posted_points: int = 20_000
     file_rows: int = 16384
 
+    def at(self, n: int) -> IndexParams:
+        """These parameters for ``n`` vectors: one file more for each tenfold, so that the missed share stays level."""
+        posted = self.posted + max(0, round(math.log10(max(n, 1) / self.posted_points)))
+        return replace(self, posted=posted, order=max(self.order, posted))
+
+    def depth(self, members: int) -> int:
+        return min(members, max(self.rerank, math.ceil(self.rerank_share * members)))
+
 
 def valid_points(points: DataFrame, dim: int = 64) -> DataFrame:
     """``(id, point_id, vector, h)``: of each id the row with the latest ``embedded_at``, if its vector is valid.
@@ -134,7 +146,7 @@ def _search(ids: np.ndarray, orders: np.ndarray, raw: np.ndarray, queries: np.nd
                 seen[earlier] |= shared[earlier] > width - p.posted
         score[seen] = 0
         score[q[:, None] == members[None, :]] = 0
-        c = min(p.rerank, len(members))
+        c = p.depth(len(members))
         ranked = score.astype(np.int64 if len(members) >> 20 else np.int32) * len(members) - np.arange(len(members), dtype=np.int32)
         best = np.argpartition(ranked, len(members) - c, axis=1)[:, len(members) - c :] if c < len(members) else np.broadcast_to(np.arange(c), (len(q), c))
         near = np.take_along_axis(single[q] @ m_single.T, best, 1)
@@ -174,6 +186,7 @@ def nearest(points: DataFrame, p: IndexParams = IndexParams()) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double, place int")
     classes, distinct = _distinct(own)
+    p = p.at(n)
 
     wanted = min(p.max_pivots, max(32, math.ceil(p.pivots_per_root * math.sqrt(n))))
     sample = distinct.select("id", "vector").orderBy(F.hash("id"), "id").limit(wanted).collect()  # a bounded sample: max_pivots rows at most

@@ -121,3 +121,10 @@ def test_one_direction_is_one_vector_and_long_files_are_cut(spark, vectors, monk
     whole, cut = ({tuple(r) for r in nearest(points, q).collect()} for q in (IndexParams(), p))
     assert not sizes[0] and sizes[1] and min(sizes[1].values()) > 60 and cut >= whole
     assert {r[:2] for r in cut} == {r[:2] for r in nearest(valid_points(table(spark, vectors.items())), p).collect()}
+
+
+def test_depth_and_postings_follow_the_size():
+    p = IndexParams()
+    assert p.at(1_000) == p and [p.at(n).posted for n in (17_000, 170_000, 1_700_000)] == [5, 6, 7]
+    assert p.at(10**9).order >= p.at(10**9).posted and p.depth(100) == 100
+    assert [p.depth(m) / m for m in (2_000, 8_000, 16_000)] == [p.rerank_share] * 3
