@@ -84,8 +84,9 @@ class HistoryIndex:
         """``(id, duplicate_of, matched_by)`` for each document of ``batch`` that repeats an accepted or an earlier one of the batch.
 
         ``batch(id, text, raw, norm, seq)`` in order of ``seq``; ``accepted(id, text)`` gives the history's texts, or
-        None for an empty history. Equal raw hashes go before equal normalized ones, these before near-duplicate
-        texts; null hashes match nothing. ``duplicate_of`` is the first document of the group that is matched.
+        None for an empty history. Equal raw hashes, equal normalized hashes and near-duplicate texts link documents
+        to one group; null hashes match nothing. ``duplicate_of`` is the first document of the group, ``matched_by`` the
+        document's own strongest link to an earlier one, in this order; of one without, ``near_text``.
         Rows of null id are left out; null, empty and very short texts can only match by hash.
         """
         batch = batch.where("id is not null")
@@ -104,17 +105,19 @@ class HistoryIndex:
         members = materialize(members, "members")
         # links inside the history are kept as links to the first of the group, so that groups stay whole
         links = links.unionByName(members.where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")))
+        out = members.where("new")
+        for kind in ("raw", "norm"):
+            first = members.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.min(F.struct("seq", "first_id", "id"))["id"].alias(f"{kind}_o"))
+            out = out.join(first, kind, "left").withColumn(f"{kind}_o", F.when(F.col(f"{kind}_o") != F.col("id"), F.col(f"{kind}_o")))
+        out = materialize(out.select("id", "raw_o", "norm_o"), "hashes")
+        for kind in ("raw_o", "norm_o"):
+            links = links.unionByName(out.where(F.col(kind).isNotNull()).select(F.col(kind).alias("a"), F.col("id").alias("b")))
         groups = connected_components(links, "a", "b").withColumnRenamed("node", "id")
         placed = members.join(groups, "id")
-        near = placed.groupBy("component").agg(F.min(F.struct("seq", "first_id"))["first_id"].alias("near_first"))
-        found = placed.where("new").join(near, "component").where("id <> near_first").select("id", "near_first")
-        out = members.where("new").join(found, "id", "left")
-        for kind in ("raw", "norm"):
-            first = members.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.min(F.struct("seq", "first_id", "id")).alias(f"{kind}_o"))
-            out = out.join(first, kind, "left").withColumn(f"{kind}_first", F.when(F.col(f"{kind}_o.id") != F.col("id"), F.col(f"{kind}_o.first_id")))
-        out = out.withColumn("duplicate_of", F.coalesce("raw_first", "norm_first", "near_first"))
-        by = F.when(F.col("raw_first").isNotNull(), "raw_hash").when(F.col("norm_first").isNotNull(), "normalized_hash").otherwise("near_text")
-        return out.where("duplicate_of is not null").select("id", "duplicate_of", by.alias("matched_by"))
+        first = placed.groupBy("component").agg(F.min(F.struct("seq", "first_id"))["first_id"].alias("duplicate_of"))
+        found = placed.where("new").join(first, "component").where("id <> duplicate_of").select("id", "duplicate_of")
+        by = F.when(F.col("raw_o").isNotNull(), "raw_hash").when(F.col("norm_o").isNotNull(), "normalized_hash").otherwise("near_text")
+        return found.join(out, "id").select("id", "duplicate_of", by.alias("matched_by")).distinct()
 
     def append(self, batch: DataFrame, found: DataFrame) -> None:
         """Accept ``batch`` with the duplicates that :meth:`probe` found: its postings and members are added."""

@@ -134,6 +134,21 @@ def test_batches_against_the_index(spark, tmp_path):
     assert set(found) <= set(want) and len(set(want) - set(found)) <= 2
 
 
+def test_hash_copies_of_an_edited_history_document(spark, tmp_path):
+    old = " ".join(WORDS[:20])
+    rows = [(1, old, "a"), (5, old + " more", "b"), (6, "scanned otherwise entirely", "b"), (7, "alone here now", "c"), (8, old + " again", "b")]
+    docs = spark.createDataFrame([(i, t, h * 64) for i, t, h in rows], "doc_id bigint, text string, raw_content_hash string")
+    docs = docs.withColumn("normalized_content_hash", F.lit(None).cast("string"))
+    index = p1_history.HistoryIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    history, batch = p1_history.batch_rows(docs.where("doc_id = 1")), p1_history.batch_rows(docs.where("doc_id > 1"))
+    index.start(history).append(history, spark.createDataFrame([], "id bigint, duplicate_of bigint"))
+    hits = index.probe(batch, history.select("id", "text"))
+    assert {tuple(r) for r in hits.collect()} == {(5, 1, "near_text"), (6, 1, "raw_hash"), (8, 1, "raw_hash")}
+    index.append(batch, hits)
+    again = p1_history.batch_rows(docs.where("doc_id = 6").withColumn("doc_id", F.lit(9).cast("long")))
+    assert [tuple(r) for r in index.probe(again, docs.select(F.col("doc_id").alias("id"), "text")).collect()] == [(9, 1, "raw_hash")]
+
+
 def test_records_within_their_kind(spark):
     texts = [t for t in corpus(11, 40) if len(t.split()) >= 20]
     rows = [("chunk" if i % 2 else "section", f"r{i}", t) for i, t in enumerate(texts)]
