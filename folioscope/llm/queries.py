@@ -83,8 +83,8 @@ def p7_actual_shares(spark: SparkSession, sf: str) -> DataFrame:
     return p7_mix.shares(p7_mix.select_mix(docs, targets), docs, targets)
 
 
-def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_neighbours.valid_points(_read(spark, sf, "vector_points").select("point_id", "embedded_at", "vector"))
+def _points(spark: SparkSession, sf: str) -> p5_neighbours.Points:
+    return p5_neighbours.valid_points(_read(spark, sf, "vector_points"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -54,10 +55,31 @@ def test_nearly_all_true_neighbours(spark, vectors):
     assert missed.true_neighbours == len(want) and missed.missed == len(want - hit)
 
 
-def test_split_files_find_the_same(spark, vectors):
-    points = valid_points(table(spark, list(vectors.items())[:200]))
-    whole = {tuple(r) for r in nearest(points).collect()}
-    assert {tuple(r) for r in nearest(points, IndexParams(file_rows=10)).collect()} >= whole
+SHELVED = IndexParams(shelf_rows=300)  # several shelves on small tables
+
+
+def test_several_shelves_find_nearly_all(spark, vectors):
+    points = valid_points(table(spark, vectors.items()), SHELVED)
+    assert points.points.select(F.explode("shelves").alias("s")).distinct().count() > 3
+    assert points.points.where(F.size("shelves") != 3).count() == 0
+    missed = recall(nearest(points), brute_force(points, every=1)).head()
+    assert missed.missed_share < 0.05
+
+
+def test_a_pair_comes_from_one_shelf_only(spark, vectors):
+    points = valid_points(table(spark, vectors.items()), SHELVED)
+    rows = nearest(points).select("id", "other")
+    assert rows.count() == rows.distinct().count()
+
+
+@pytest.mark.parametrize("p", [IndexParams(), SHELVED])
+def test_split_shelves_find_the_same(spark, vectors, p):
+    rows = list(vectors.items())[:200]
+    want = {(i, j) for i, js in exact(dict(rows)).items() for j, _ in js}
+    for split in (10, 10_000):
+        points = valid_points(table(spark, rows), replace(p, split_rows=split))
+        got = {tuple(r) for r in named(nearest(points), points, {"id": "a", "other": "b"}).select("a", "b").collect()}
+        assert len(got & want) > 0.95 * len(want)
 
 
 def test_every_pair_once(spark, vectors):
@@ -73,7 +95,7 @@ def test_only_the_last_valid_vector_counts(spark):
         ("inf", T, [float("inf")] + v[1:]), ("short", T, v[:5]), ("zero", T, [0.0] * 64), (None, T, v), ("tiny", T, [1e-30] * 64), ("huge", T, [1e30] * 64), ("huge", T, [1e30] * 64),
     ]
     points = valid_points(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA))
-    assert [r.point_id for r in points.orderBy("id").collect()] == ["huge", "new", "timeless", "tiny"]
+    assert [r.point_id for r in points.points.orderBy("id").collect()] == ["huge", "new", "timeless", "tiny"]
     assert neighbour_pairs(nearest(points), points).count() == 6
     empty = valid_points(spark.createDataFrame([], SCHEMA))
     assert nearest(empty).count() == 0 and recall(nearest(empty), brute_force(empty)).head().missed_share == 0
@@ -82,7 +104,7 @@ def test_only_the_last_valid_vector_counts(spark):
 def test_one_point_has_no_neighbour(spark):
     points = valid_points(spark.createDataFrame([("a", T, [1.0] * 64, "x", 1)], SCHEMA))
     assert nearest(points).count() == 0
-    assert nearest(points.withColumn("extra", F.lit(1))).columns == ["id", "other", "cosine", "place"]
+    assert nearest(points).columns == ["id", "other", "cosine", "place"]
 
 
 def test_brute_force_sends_k_a_query_and_part(spark, monkeypatch):
@@ -97,34 +119,44 @@ def test_brute_force_sends_k_a_query_and_part(spark, monkeypatch):
     truth = named(brute_force(points, every=1), points, {"id": "point_id", "other": "neighbour_id"}).collect()
     assert {(r.point_id, r.neighbour_id, r.cosine) for r in truth} == {(i, j, c) for i, js in exact(rows).items() for j, c in js}
     assert len(sent) == 1 and sent[0].select("id").distinct().count() == 150  # copies are no queries
-    cos = np.array([[0.9, 1.0, 1.0, -1.0, 1.0]])
-    assert sorted(p5_neighbours._best(cos, 2)[0]) == [1, 2]
 
 
-def test_ties_within_a_file_go_by_id():
+def test_ties_on_a_shelf_go_by_id():
     rng = np.random.default_rng(2)
     raw = np.float32(np.ones(64) + rng.normal(scale=1e-7, size=(900, 64)))
-    orders = np.tile(np.arange(8, dtype=np.uint16), (900, 1))
-    ids, every = np.arange(900) * 3, np.arange(900)
-    got = [np.concatenate(x) for x in zip(*p5_neighbours._search(ids, orders, raw, every, every, 0, IndexParams()), strict=True)]
+    ids, one = np.arange(900) * 3, np.zeros((900, 1), np.int32)
+    got = p5_neighbours._search(ids, raw, one, one[:, 0], 0, False, IndexParams())
     for i in (0, 3, 897, 2697):
-        assert got[1][got[0] == i][:5].tolist() == [j for j in (0, 3, 6, 9, 12, 15) if j != i][:5]
+        assert got[1][got[0] == i].tolist() == [j for j in (0, 3, 6, 9, 12, 15) if j != i][:5]
+
+
+def test_long_files_are_ranked_by_footrule(vectors):
+    raw = np.array(list(vectors.values())[:480], np.float32)
+    ids, one = np.arange(480), np.zeros((480, 1), np.int32)
+    want = {(i, int(j)) for i, (_, js) in enumerate(sorted(exact({f"{i:03d}": list(x) for i, x in enumerate(raw)}).items())) for j, _ in js}
+    for rerank in (40, 512):  # files have up to 480 rows
+        x, y, _ = p5_neighbours._search(ids, raw, one, one[:, 0], 0, False, IndexParams(rerank=rerank, pivot_rows=60))
+        assert len(want & set(zip(x.tolist(), y.tolist(), strict=True))) > 0.9 * len(want)
+
+
+def test_first_columns_are_the_greatest():
+    near = np.random.default_rng(4).normal(size=(50, 1000))
+    for m, width in ((1000, 6), (1000, 40), (7, 7), (991, 3)):
+        assert np.array_equal(p5_neighbours._first(near[:, :m], width), np.argsort(-near[:, :m], axis=1)[:, :width])
 
 
-def test_one_direction_is_one_vector_and_long_files_are_cut(spark, vectors, monkeypatch):
+def test_one_direction_is_one_vector(spark, vectors):
     rows = {i: [x * 2.0 ** (n % 5) for x in v] for n, (i, v) in enumerate(vectors.items())}
     points = valid_points(table(spark, rows.items()))
-    assert points.select("h").distinct().count() == 480
-    sizes, real = [], p5_neighbours._lengths
-    monkeypatch.setattr(p5_neighbours, "_lengths", lambda *a: sizes.append(real(*a)) or sizes[-1])
-    p = IndexParams(file_rows=60)  # the average is 480 * 5 / 32 = 75, the longest far beyond
-    whole, cut = ({tuple(r) for r in nearest(points, q).collect()} for q in (IndexParams(), p))
-    assert not sizes[0] and sizes[1] and min(sizes[1].values()) > 60 and cut >= whole
-    assert {r[:2] for r in cut} == {r[:2] for r in nearest(valid_points(table(spark, vectors.items())), p).collect()}
-
-
-def test_depth_and_postings_follow_the_size():
-    p = IndexParams()
-    assert p.at(1_000) == p and [p.at(n).posted for n in (17_000, 170_000, 1_700_000)] == [5, 6, 7]
-    assert p.at(10**9).order >= p.at(10**9).posted and p.depth(100) == 100
-    assert [p.depth(m) / m for m in (2_000, 8_000, 16_000)] == [p.rerank_share] * 3
+    assert points.points.select("h").distinct().count() == 480
+    one, other = ({tuple(r)[:2] for r in nearest(valid_points(table(spark, x.items()))).collect()} for x in (rows, vectors))
+    assert one == other
+
+
+def test_a_hot_direction_and_replayed_rows(spark):
+    rng = np.random.default_rng(6)
+    hot = [float(x) for x in np.float32(rng.normal(size=64))]
+    rows = [(f"h{i:03d}", hot) for i in range(300)] + [(f"o{i:03d}", [float(x) for x in np.float32(rng.normal(size=64))]) for i in range(300)]
+    points = valid_points(table(spark, rows * 3), SHELVED)
+    got = named(nearest(points), points, {"id": "a", "other": "b"}).collect()
+    assert {(r.a, r.b) for r in got} == {(f"h{i:03d}", f"h{j:03d}") for i in range(300) for j in ([x for x in range(6) if x != i][:5])}
