@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.simjoin import JoinParams, bucket_count, copies, join_links, postings, shingle_levels
+from folioscope.llm.shingles import passes, shingles
+from folioscope.llm.simjoin import JoinParams, can_reach, clean_text, enough_words, hot_pairs, prefixes, shingle_levels
 from folioscope.operators.components import connected_components
 from folioscope.plans.materialize import broadcast_if_small, materialize
 
 #: As TESTDATA.md has it for this data: three words, similarity 0.6.
 NEAR = JoinParams(shingle=3, threshold=0.6)
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+#: Words of 64 bits of a document's parity sketch.
+PROFILE = 8
+ENTRY = {
+    "kind": "string", "part": "int", "batch": "int",
+    "id": "bigint", "n": "int", "profile": "array<bigint>", "set": "array<int>",
+    "ids": "array<bigint>", "sizes": "array<int>", "token": "array<int>", "doc": "array<int>", "pos": "array<int>",
+}
+ENTRY_DDL = ", ".join(f"{c} {t}" for c, t in ENTRY.items())
 
 
 def clean_hash(column: str):
@@ -20,115 +33,319 @@ def clean_hash(column: str):
     return F.when((hexa != "") & (hexa != EMPTY_FILE), hexa)
 
 
-def _enough_words(p: JoinParams):
-    return F.col("text").rlike("(?U)" + "\\W+".join(["\\w+"] * p.shingle))
+def _rows(columns: dict, n: int) -> pa.RecordBatch:
+    """A batch of the entry table; columns that are not given are null."""
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    arrays = [columns[c].cast(arrow[t]) if c in columns else pa.nulls(n, arrow[t]) for c, t in ENTRY.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(ENTRY))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.ascontiguousarray(values)))
 
 
-def near_duplicate_groups(docs: DataFrame, order: list[str], p: JoinParams = NEAR) -> DataFrame:
-    """``(first_id, id)`` for every text of ``docs(id, text, *order)`` that is not the first of its group.
+def entries(texts: DataFrame, levels, p: JoinParams, number: int, buckets: int) -> DataFrame:
+    """The index entries of ``texts(id, text)``, which are batch ``number``: one pass over the texts makes both kinds.
 
-    A group is connected through pairs of similarity ``p.threshold`` or more; the first is the least by ``order``
-    and ``id``. Texts of fewer than ``p.shingle`` words (null and empty ones too) belong to no group. Copies are
-    set aside by hash first, so that a text that makes up a third of all rows is joined once; repeated rows of one
-    id count once (of different texts under one id each may link it); rows of null id are left out; an empty table
-    gives an empty result; other columns are not looked at.
+    ``doc``: a document's shingles as 32-bit hashes and a parity sketch of them, in the part of its id. ``list``: blocks
+    of the inverted file, in the part of the tokens' bucket: the prefix postings of some documents, ordered by token.
     """
-    docs = docs.where("id is not null").select("id", "text", *order)
-    same = materialize(copies(docs.where(_enough_words(p)), order), "copies")
-    single = docs.join(broadcast_if_small(same.select("id")), "id", "left_anti")
-    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(single, p))
-    posted = postings(single, levels, p, bucket_count(docs))
-    links = join_links(posted, single, p)
-    return _firsts(links.select("a", "b").unionByName(same.select(F.col("first").alias("a"), F.col("id").alias("b"))), docs, order)
 
+    def sketches(of: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, PROFILE), np.int64)
+        for a in range(0, n, 2048):
+            lo, hi = np.searchsorted(of, [a, min(a + 2048, n)])
+            bits = (of[lo:hi].astype(np.int64) - a) * (64 * PROFILE) + (s[lo:hi] & np.uint64(64 * PROFILE - 1)).astype(np.int64)
+            odd = np.bincount(bits, minlength=min(2048, n - a) * 64 * PROFILE) & 1
+            out[a : a + 2048] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PROFILE)
+        return out
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
+            for a, b in passes(rows):
+                of, s, n = shingles(rows[a:b], p.shingle)
+                own = ids[a:b]
+                has = np.flatnonzero(n)
+                if not len(has):
+                    continue
+                profile = sketches(of, s, b - a)[has]
+                yield _rows({
+                    "kind": pa.array(["doc"] * len(has)), "part": pa.array(own[has] % buckets), "batch": pa.array(np.full(len(has), number)), "id": pa.array(own[has]), "n": pa.array(n[has]),
+                    "profile": _lists(profile.ravel(), np.full(len(has), PROFILE)), "set": _lists((s >> np.uint64(32)).astype(np.uint32).view(np.int32), n[has]),
+                }, len(has))
+                token, doc, pos = prefixes(of, s, n, levels.value, p)
+                part = (token % np.uint64(buckets)).astype(np.int64)
+                token = (token >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((token, part))
+                part, token, doc, pos = part[order], token[order], doc[order], pos[order]
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+                docs, sizes, local = [], [], []
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    there, at = np.unique(doc[lo:hi], return_inverse=True)
+                    docs.append(there)
+                    sizes.append(len(there))
+                    local.append(at)
+                if docs:
+                    there, count = np.concatenate(docs), np.diff(cuts)
+                    yield _rows({
+                        "kind": pa.array(["list"] * len(sizes)), "part": pa.array(part[cuts[:-1]]), "batch": pa.array(np.full(len(sizes), number)),
+                        "ids": _lists(own[there], sizes), "sizes": _lists(n[there].astype(np.int32), sizes),
+                        "token": _lists(token.view(np.int32), count), "doc": _lists(np.concatenate(local).astype(np.int32), count), "pos": _lists(pos.astype(np.int32), count),
+                    }, len(sizes))
+
+    return texts.select("id", "text").mapInArrow(make, ENTRY_DDL)
+
+
+class _Block:
+    """Postings of one bucket, ordered by token."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, token: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+        self.token, self.id, self.n, self.pos = token.view(np.uint32), ids[doc], sizes[doc].astype(np.int64), pos.astype(np.int64)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, i: int) -> _Block:
+        return cls(*(batch.column(c)[i].values.to_numpy() for c in ("ids", "sizes", "token", "doc", "pos")))
 
-def _firsts(links: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
-    groups = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "groups")
-    members = docs.select("id", *order).join(groups, "id").distinct()
-    first = members.groupBy("component").agg(F.min(F.struct(*order, "id"))["id"].alias("first_id"))
-    return members.join(first, "component").where("id <> first_id").select("first_id", "id").distinct()
+    @classmethod
+    def joined(cls, blocks: list[_Block]) -> _Block:
+        out = cls.__new__(cls)
+        order = np.argsort(np.concatenate([b.token for b in blocks]), kind="stable")
+        for c in ("token", "id", "n", "pos"):
+            setattr(out, c, np.concatenate([getattr(b, c) for b in blocks])[order])
+        return out
+
+
+def _meet(old: _Block, new: _Block, p: JoinParams, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (new id, old id) that share a token and can still reach the threshold, and the tokens of hot lists.
+
+    Of a token with more than ``hot`` squared pairs in these blocks, rows are paired with the heads of the lists and
+    one row each only; the rest is looked at later. With ``same`` both are the batch itself: pairs count once.
+    """
+    lo, hi = np.searchsorted(new.token, old.token, "left"), np.searchsorted(new.token, old.token, "right")
+    starts = np.searchsorted(old.token, old.token, "left")
+    length = np.searchsorted(old.token, old.token, "right") - starts
+    hot = (hi - lo) * length > p.hot**2
+    at = np.flatnonzero((hi > lo) & ~hot)
+    i = np.repeat(at, (hi - lo)[at])
+    j = np.arange(len(i)) - np.repeat(np.cumsum((hi - lo)[at]) - (hi - lo)[at], (hi - lo)[at]) + lo[i]
+    at = np.flatnonzero(hot)
+    if len(at):
+        mine, heads = np.arange(len(at)), np.flatnonzero(hot & (starts == np.arange(len(hot))))
+        each = [np.arange(lo[x], hi[x]) for x in heads]
+        i = np.concatenate([i, at, at, *(np.full(len(e), x) for e, x in zip(each, heads, strict=True))])
+        j = np.concatenate([j, lo[at], lo[at] + (mine - np.searchsorted(at, starts[at]) + same) % (hi - lo)[at], *each])
+    ok = can_reach(new.n[j], new.pos[j], old.n[i], old.pos[i], p.threshold)
+    a, b = new.id[j[ok]], old.id[i[ok]]
+    if same:
+        a, b = np.maximum(a, b), np.minimum(a, b)
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1], np.unique(old.token[at])
 
 
 class HistoryIndex:
     """All accepted documents as an inverted index of rare-token prefixes, in a folder that all executors share.
 
-    ``postings`` holds blocks of postings partitioned by a hash of the token, ``members`` one row per accepted
-    document (its cleaned hashes and the first document of its group), ``levels`` the fixed rarity order. A batch
-    is probed against posting lists, never against the texts of the history: of those only the candidates' are
-    read, to verify them. Appending a batch writes its own postings and members and nothing else.
+    ``entries`` holds the postings partitioned by a hash of the token and the documents' shingle sets partitioned by id,
+    ``keys`` the first owner of each hash, ``links`` what was found, ``levels`` the rarity order. :meth:`add` takes a
+    batch: its postings are sent to the posting lists of the same buckets (at most ``most`` at once; a larger batch goes
+    by slices of buckets), only pairs with one end in the batch are made, and only sets of their ends are read. Nothing
+    of the history is shuffled, rewritten or compared with itself, and its texts are not read. The order is fixed by
+    :meth:`start`; it decides speed only, and :meth:`reordered` makes a new index when the history has outgrown it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 96):
-        self.spark, self.path, self.p, self.buckets = spark, path, p, buckets
-        self._levels = None
+    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 8, most: int = 4_000_000):
+        self.spark, self.path, self.p, self.buckets, self.most = spark, path, p, buckets, most
+        self._levels, self._number = None, None
 
     def start(self, texts: DataFrame) -> HistoryIndex:
-        """Fix the rarity order from all of ``texts(id, text)``, the first documents of the index."""
+        """Fix the rarity order by a count over ``texts(id, text)``: what is at hand when the index begins."""
         levels = shingle_levels(texts, self.p)
         self.spark.createDataFrame([(levels.tobytes(),)], "levels binary").coalesce(1).write.parquet(f"{self.path}/levels")
         return self
 
+    def reordered(self, path: str, texts: DataFrame) -> HistoryIndex:
+        """A new index of all accepted ``texts`` in an order that counts them all, to be made when they have grown fourfold."""
+        new = HistoryIndex(self.spark, path, self.p, self.buckets, self.most).start(texts)
+        for table in ("keys", "links"):
+            if (old := self._table(table)) is not None:
+                old.write.partitionBy("role").parquet(f"{path}/{table}")
+        new._number, posted = self._number, self._read("doc").select("id", "batch")
+        for (number,) in sorted(posted.select("batch").distinct().collect()):  # a row for each batch
+            entries(texts.join(posted.where(F.col("batch") == number), "id", "left_semi"), new.levels, self.p, number, self.buckets).write.mode("append").partitionBy("kind", "part").parquet(f"{path}/entries")
+        return new
+
     @property
     def levels(self):
         if self._levels is None:
-            import numpy as np
-
-            blob = self.spark.read.parquet(f"{self.path}/levels").head()[0]
-            self._levels = self.spark.sparkContext.broadcast(np.frombuffer(blob, np.uint8))
+            self._levels = self.spark.sparkContext.broadcast(np.frombuffer(self.spark.read.schema("levels binary").parquet(f"{self.path}/levels").head()[0], np.uint8))
         return self._levels
 
-    def _posted(self, batch: DataFrame, fresh: bool) -> DataFrame:
-        return postings(batch, self.levels, self.p, self.buckets, fresh, drop_unique=False)
+    KEYS = "kind string, key bigint, check bigint, id bigint, owner bigint, batch int, role string"
+
+    def _there(self, table: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def _table(self, table: str) -> DataFrame | None:
+        return self.spark.read.schema(self.KEYS).parquet(f"{self.path}/{table}") if self._there(table) else None
 
-    def probe(self, batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
-        """``(id, duplicate_of, matched_by)`` for each document of ``batch`` that repeats an accepted or an earlier one of the batch.
+    def _read(self, kind: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY_DDL).option("basePath", f"{self.path}/entries").parquet(f"{self.path}/entries/kind={kind}")
 
-        ``batch(id, text, raw, norm, seq)`` in order of ``seq``; ``accepted(id, text)`` gives the history's texts, or
-        None for an empty history. Equal raw hashes, equal normalized hashes and near-duplicate texts link documents
-        to one group; null hashes match nothing. ``duplicate_of`` is the first document of the group, ``matched_by`` the
-        document's own strongest link to an earlier one, in this order; of one without, ``near_text``.
-        Rows of null id are left out; null, empty and very short texts can only match by hash.
+    def links(self, batch: int | None = None) -> DataFrame:
+        """``(a, b, kind, batch)``: document ``a`` repeats the earlier document ``b``, by which kind; of one batch or all."""
+        found = [t.where("role = 'copy'") for t in map(self._table, ("keys", "links")) if t is not None]
+        if not found:
+            return self.spark.createDataFrame([], "a bigint, b bigint, kind string, batch int")
+        out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        out = out if batch is None else out.where(F.col("batch") == batch)
+        return out.select(F.col("id").alias("a"), F.col("owner").alias("b"), "kind", "batch")
+
+    def add(self, batch: DataFrame) -> int:
+        """Compare ``batch(id, text[, raw, norm])`` with all accepted documents and with itself, accept it, and give its number.
+
+        Ids grow in the order of arrival. Equal raw or normalized hashes, equal texts and near-duplicate texts link a
+        document to an earlier one; null hashes match nothing, texts of fewer than ``shingle`` words (null and empty ones
+        too) only match by hash. Rows of null id are left out, repeated rows of one id count once (of different texts
+        under one id each may link it), other columns are not looked at; an empty batch changes nothing.
         """
+        if self._number is None:  # a new index, or a folder that an earlier session made
+            known = self._table("keys")
+            last = None if known is None else known.agg(F.max("batch")).head()[0]
+            self._number = -1 if last is None else last
+        number = self._number = self._number + 1
         batch = batch.where("id is not null")
-        texts = batch.select("id", "text")
-        posted = self._posted(texts, True)
-        known = None
-        if accepted is not None:
-            posted = posted.unionByName(self.spark.read.parquet(f"{self.path}/postings").withColumn("fresh", F.lit(False)).select(posted.columns))
-            texts = texts.unionByName(accepted.select("id", "text"))
-            known = self.spark.read.parquet(f"{self.path}/members")
-        links = join_links(materialize(posted, "postings"), texts, self.p).select("a", "b")
-        now = batch.select("id", "seq", "raw", "norm", F.col("id").alias("first_id"))
-        members = now.withColumn("new", F.lit(True))
-        if known is not None:
-            members = members.unionByName(known.withColumns({"seq": F.lit(-1).cast("long"), "new": F.lit(False)}).select(members.columns))
-        members = materialize(members, "members")
-        # links inside the history are kept as links to the first of the group, so that groups stay whole
-        links = links.unionByName(members.where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")))
-        out = members.where("new")
-        for kind in ("raw", "norm"):
-            first = members.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.min(F.struct("seq", "first_id", "id"))["id"].alias(f"{kind}_o"))
-            out = out.join(first, kind, "left").withColumn(f"{kind}_o", F.when(F.col(f"{kind}_o") != F.col("id"), F.col(f"{kind}_o")))
-        out = materialize(out.select("id", "raw_o", "norm_o"), "hashes")
-        for kind in ("raw_o", "norm_o"):
-            links = links.unionByName(out.where(F.col(kind).isNotNull()).select(F.col(kind).alias("a"), F.col("id").alias("b")))
-        groups = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-        placed = members.join(groups, "id")
-        first = placed.groupBy("component").agg(F.min(F.struct("seq", "first_id"))["first_id"].alias("duplicate_of"))
-        found = placed.where("new").join(first, "component").where("id <> duplicate_of").select("id", "duplicate_of")
-        by = F.when(F.col("raw_o").isNotNull(), "raw_hash").when(F.col("norm_o").isNotNull(), "normalized_hash").otherwise("near_text")
-        return found.join(out, "id").select("id", "duplicate_of", by.alias("matched_by")).distinct()
-
-    def append(self, batch: DataFrame, found: DataFrame) -> None:
-        """Accept ``batch`` with the duplicates that :meth:`probe` found: its postings and members are added."""
-        posted = self._posted(batch.select("id", "text"), False).drop("fresh").repartition("bucket")  # one file a bucket
-        posted.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        first = batch.select("id", "raw", "norm").join(found.select("id", "duplicate_of"), "id", "left")
-        first.select("id", "raw", "norm", F.coalesce("duplicate_of", "id").alias("first_id")).write.mode("append").parquet(f"{self.path}/members")
+        self._keys(batch, number)
+        copies = self.links(number).where("kind = 'text'").select(F.col("a").alias("id")).distinct()
+        texts = batch.select("id", "text").where(enough_words(self.p)).join(broadcast_if_small(copies), "id", "left_anti")
+        seen = Observation()
+        sizes = (F.sum(F.when(F.col("part") == i, F.size("token"))).alias(str(i)) for i in range(self.buckets))
+        made = entries(texts, self.levels, self.p, number, self.buckets).observe(seen, *sizes)
+        made.write.mode("append").partitionBy("kind", "part").parquet(f"{self.path}/entries")
+        sizes = {int(part): n for part, n in seen.get.items() if (n or 0) > 0}
+        if not sizes:
+            return number
+        pairs = self._pairs(number, sizes)
+        links = self._verified(pairs.where("hot is null").select("a", "b"), number)
+        links.write.mode("append").partitionBy("role").parquet(f"{self.path}/links")
+        hot = pairs.where("hot is not null")
+        if not hot.isEmpty():
+            more = materialize(self._hot(hot, number), "hot")
+            self._verified(more, number).write.mode("append").partitionBy("role").parquet(f"{self.path}/links")
+        return number
+
+    def _keys(self, batch: DataFrame, number: int) -> None:
+        """Give each hash of the batch its first owner, in the history or the batch; other documents of the hash link to it."""
+        words = {"text": F.when(enough_words(self.p), clean_text("text"))} | {c: F.col(c) for c in ("raw", "norm") if c in batch.columns}
+        hashes = [F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("key"), F.xxhash64(F.length(x), x).alias("check"))) for kind, x in words.items()]
+        own = batch.select("id", F.explode(F.array_compact(F.array(*hashes))).alias("h")).select("id", "h.*")
+        first, names = own.groupBy("kind", "key", "check").agg(F.min("id").alias("first")), ["kind", "key", "check"]
+        known = self._table("keys")
+        first = first.withColumn("known", F.lit(None).cast("bigint")) if known is None else first.join(known.where("role = 'own'").select(*names, F.col("owner").alias("known")), names, "left")
+        placed = own.join(first, names).select("kind", "key", "check", "id", F.coalesce("known", "first").alias("owner"), F.lit(number).alias("batch"), F.when(F.col("known").isNull() & (F.col("id") == F.col("first")), "own").otherwise("copy").alias("role"))
+        placed.where("role = 'own' or id <> owner").dropDuplicates(["kind", "key", "check", "id"]).write.mode("append").partitionBy("role").parquet(f"{self.path}/keys")
+
+    def _pairs(self, number: int, sizes: dict[int, int]) -> DataFrame:
+        """``(a, b, hot)``: candidates of the batch, of ``sizes`` postings in each bucket; of a hot list its token instead."""
+        lists, out = self._read("list"), None
+        for parts in slices(sizes, self.most):
+            there = lists.where(F.col("part").isin(parts))
+            fresh: dict[int, list] = {}
+            for block in there.where(F.col("batch") == number).select("part", "ids", "sizes", "token", "doc", "pos").toArrow().to_batches():  # most postings at most, or one bucket
+                for i, part in enumerate(block.column(0).to_pylist()):
+                    fresh.setdefault(part, []).append(_Block.of(block, i))
+            sent = self.spark.sparkContext.broadcast({part: _Block.joined(blocks) for part, blocks in fresh.items()})
+            got = materialize(self._probed(there, sent, number).distinct(), "pairs")
+            sent.destroy()
+            out = got if out is None else out.unionByName(got)
+        return out
+
+    def _probed(self, lists: DataFrame, fresh, number: int) -> DataFrame:
+        p = self.p
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, (part, of) in enumerate(zip(batch.column("part").to_pylist(), batch.column("batch").to_pylist(), strict=True)):
+                    a, b, hot = _meet(_Block.of(batch, i), fresh.value[part], p, of == number)
+                    none = pa.nulls(len(hot), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(hot.astype(np.int64) | (part << 32), pa.int64())])], names=["a", "b", "hot"])
+
+        return lists.select("part", "batch", "ids", "sizes", "token", "doc", "pos").mapInArrow(probe, "a bigint, b bigint, hot bigint")
+
+    def _verified(self, pairs: DataFrame, number: int) -> DataFrame:
+        """The link rows of the pairs (new, old) that have the threshold's similarity.
+
+        Parity sketches bound the difference of two sets from below; of what they leave, whole sets are compared, as
+        32-bit hashes: two different ones of a pair fall together once in millions of pairs.
+        """
+        docs, t = self._read("doc"), self.p.threshold
+        new = docs.where(F.col("batch") == number)
+        near = docs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")).join(broadcast_if_small(pairs), "b")
+        near = near.join(broadcast_if_small(new.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), 200_000), "a")
+        apart, total = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PROFILE)), F.col("na") + F.col("nb")
+        near = materialize(near.where(total - apart >= 2 * F.ceil(t / (1 + t) * total - 1e-9)).select("a", "b"), "near")
+        told = near.agg(F.count("*").alias("n"), F.collect_set(F.pmod("b", F.lit(self.buckets)).cast("int")).alias("parts")).head()  # buckets numbers at most
+        near = F.broadcast(near) if told.n <= 1_000_000 else near
+        left = new.select(F.col("id").alias("a"), F.col("set").alias("xa")).join(near.select("a").distinct(), "a", "left_semi")
+        both = docs.where(F.col("part").isin(told.parts)).select(F.col("id").alias("b"), F.col("set").alias("xb")).join(near, "b").join(left, "a")
+        both = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("shared"), (F.size("xa") + F.size("xb")).alias("total"))
+        links = both.where(F.col("shared") >= t * (F.col("total") - F.col("shared")) - 1e-9)
+        none = F.lit(None).cast("bigint")
+        return links.select(F.lit("near").alias("kind"), none.alias("key"), none.alias("check"), F.col("a").alias("id"), F.col("b").alias("owner"), F.lit(number).alias("batch"), F.lit("copy").alias("role")).distinct()
+
+    def _hot(self, hot: DataFrame, number: int) -> DataFrame:
+        """Candidates of hot lists between documents that no links connect yet, one of them new."""
+        tokens = materialize(hot.select(F.col("hot").alias("token")).distinct(), "tokens")
+        parts = [r.p for r in tokens.select(F.shiftright("token", 32).cast("int").alias("p")).distinct().collect()]  # buckets rows at most
+        rows = self._read("list").where(F.col("part").isin(parts)).select("part", "batch", "ids", "sizes", F.explode(F.arrays_zip("token", "doc", "pos")).alias("x"))
+        token = F.shiftleft(F.col("part").cast("bigint"), 32).bitwiseOR(F.col("x.token").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+        rows = rows.select(token.alias("token"), (F.col("batch") == number).alias("fresh"), F.get("ids", F.col("x.doc")).alias("id"), F.get("sizes", F.col("x.doc")).alias("n"), "x.pos")
+        rows = rows.join(broadcast_if_small(tokens), "token", "left_semi")
+        pairs = hot_pairs(rows, connected_components(self.links(), "a", "b"), self.p)
+        return pairs.join(broadcast_if_small(self._read("doc").where(F.col("batch") == number).select(F.col("id").alias("new"))), (F.col("a") == F.col("new")) | (F.col("b") == F.col("new"))).select(
+            F.when(F.col("b") == F.col("new"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("b") == F.col("new"), F.col("a")).otherwise(F.col("b")).alias("b")
+        ).dropDuplicates()
+
+    def duplicates(self, number: int) -> DataFrame:
+        """``(id, duplicate_of, matched_by)`` for each document of batch ``number`` that repeats an accepted or an earlier one of its batch.
+
+        ``duplicate_of`` is the first document of its group, connected through all links so far; ``matched_by`` is the
+        document's own strongest link: raw_hash, normalized_hash, else near_text. Groups are followed from the
+        batch's own links, a step at a time, so that only groups that the batch touches are looked at.
+        """
+        own, links = materialize(self.links(number), "own"), self.links().select("a", "b")
+        touched = materialize(own.select("a", "b"), "touched")
+        known = touched.count()
+        while True:
+            ends = materialize(touched.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "ends")
+            ends = broadcast_if_small(ends)
+            touched = materialize(links.join(ends, F.col("a") == F.col("x"), "left_semi").unionByName(links.join(ends, F.col("b") == F.col("x"), "left_semi")).distinct(), "touched")
+            if (more := touched.count()) == known:
+                break
+            known = more
+        strength = F.when(F.col("kind") == "raw", 0).when(F.col("kind") == "norm", 1).otherwise(2)
+        by = own.groupBy(F.col("a").alias("id")).agg(F.min(strength).alias("s"))
+        groups = connected_components(touched, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("duplicate_of"))
+        ends = own.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = ends.join(own.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+        named = F.element_at(F.array(*map(F.lit, ("raw_hash", "normalized_hash", "near_text"))), F.col("s") + 1)
+        return members.join(groups, "id").where("id <> duplicate_of").join(by, "id").select("id", "duplicate_of", named.alias("matched_by"))
+
+
+def slices(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Buckets in runs of ``most`` postings at most, or one bucket."""
+    out, held = [], 0
+    for part, size in sorted(sizes.items()):
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += size
+    return out
 
 
 def batch_rows(documents: DataFrame) -> DataFrame:
     """The columns of ``documents`` that :class:`HistoryIndex` takes, for one batch."""
-    return documents.select(
-        F.col("doc_id").alias("id"), "text", clean_hash("raw_content_hash").alias("raw"), clean_hash("normalized_content_hash").alias("norm"), F.col("doc_id").cast("long").alias("seq")
-    )
+    return documents.select(F.col("doc_id").alias("id"), "text", clean_hash("raw_content_hash").alias("raw"), clean_hash("normalized_content_hash").alias("norm"))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import minhash
-from folioscope.llm.simjoin import JoinParams, _of_ids, _with_both, bucket_count, copies, join_links, postings, shingle_levels
+from folioscope.llm.simjoin import JoinParams, _of_ids, _with_both, near_links
 from folioscope.operators.components import connected_components
-from folioscope.plans.materialize import broadcast_if_small, materialize
+from folioscope.plans.materialize import materialize
 
 #: As TESTDATA.md has it for this data: three words, similarity 0.6, texts of 20 words or more.
 NEAR, MIN_WORDS = JoinParams(shingle=3, threshold=0.6), 20
@@ -70,12 +70,7 @@ def near_groups(records: DataFrame, p: JoinParams = NEAR, min_words: int = MIN_W
     out = None
     for kind in ("chunk", "section"):
         own = records.where(F.col("record_kind") == kind)
-        same = materialize(copies(own, ["record_id"]), "copies")
-        single = own.join(broadcast_if_small(same.select("id")), "id", "left_anti")
-        levels = own.sparkSession.sparkContext.broadcast(shingle_levels(single, p))
-        posted = postings(single, levels, p, bucket_count(own))
-        links = join_links(posted, single, p, lambda pairs, texts=single: bayes_pruned(pairs, texts, p, tolerance=tolerance))
-        links = links.select("a", "b").unionByName(same.select(F.col("first").alias("a"), F.col("id").alias("b")))
+        links = near_links(own.select("id", "text", "record_id"), ["record_id"], p, lambda pairs, texts: bayes_pruned(pairs, texts, p, tolerance=tolerance))
         groups = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "groups")
         members = own.select("record_kind", "record_id", "id").join(groups, "id").select("record_kind", "record_id", "component").distinct()
         first = members.groupBy("component").agg(F.min("record_id").alias("first_id"))

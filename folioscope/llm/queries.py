@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import p1_history, p2_near, p3_split, p4_scans, p5_neighbours, p6_pack, p7_mix, p8_encoding
+from folioscope.llm import p1_history, p2_near, p3_split, p4_scans, p5_neighbours, p6_pack, p7_mix, p8_encoding, simjoin
 from folioscope.plans.materialize import materialize, shared_dir
 
 
@@ -15,23 +15,27 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _index(spark: SparkSession) -> p1_history.HistoryIndex:
+    return p1_history.HistoryIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches one after the other against the index of those before; groups over the links that were found by text."""
     docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "ingest_batch")
-    groups = p1_history.near_duplicate_groups(docs, ["ingest_batch"])
-    return groups.select(F.col("first_id").alias("first_doc_id"), F.col("id").alias("doc_id"))
+    index = _index(spark).start(docs)
+    for (number,) in docs.select("ingest_batch").distinct().orderBy("ingest_batch").collect():  # a row for each batch
+        index.add(docs.where(F.col("ingest_batch").eqNullSafe(number)))
+    return simjoin.firsts(index.links().select("a", "b"), docs, ["ingest_batch"]).select(F.col("first_id").alias("first_doc_id"), F.col("id").alias("doc_id"))
 
 
 def p1_last_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The last batch against an index of all batches before it."""
+    """The last batch against an index of all batches before it, by hashes and text."""
     docs = _read(spark, sf, "documents")
     last = docs.agg(F.max("ingest_batch")).head()[0]
-    history, batch = docs.where(F.col("ingest_batch") < last), p1_history.batch_rows(docs.where(F.col("ingest_batch") == last))
-    index = p1_history.HistoryIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
-    texts = history.select(F.col("doc_id").alias("id"), "text")
-    index.start(texts)
-    firsts = p1_history.near_duplicate_groups(history.select(F.col("doc_id").alias("id"), "text", "ingest_batch"), ["ingest_batch"])
-    index.append(p1_history.batch_rows(history), firsts.select("id", F.col("first_id").alias("duplicate_of")))
-    return index.probe(batch, texts).select(F.col("id").alias("doc_id"), F.col("duplicate_of").alias("duplicate_of_doc_id"), "matched_by")
+    history, batch = (p1_history.batch_rows(docs.where(c)) for c in (F.col("ingest_batch") < last, F.col("ingest_batch") == last))
+    index = _index(spark).start(history)
+    index.add(history)
+    return index.duplicates(index.add(batch)).select(F.col("id").alias("doc_id"), F.col("duplicate_of").alias("duplicate_of_doc_id"), "matched_by")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,10 +40,24 @@ POSTING = pa.schema([("bucket", pa.int32()), ("fresh", pa.bool_())] + [(c, pa.li
 POSTING_DDL = "bucket int, fresh boolean, token array<bigint>, id array<bigint>, n array<int>, pos array<int>, rest_a array<bigint>, rest_b array<bigint>"
 
 
-def _least(share: float, of: np.ndarray) -> np.ndarray:
+def least(share: float, of: np.ndarray) -> np.ndarray:
     return np.ceil(share * of - 1e-9).astype(np.int64)
 
 
+def can_reach(na: np.ndarray, pa: np.ndarray, nb: np.ndarray, pb: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets of sizes ``na`` and ``nb`` that share tokens at places ``pa`` and ``pb`` can still have similarity ``t``."""
+    return (np.minimum(na - pa, nb - pb) >= least(t / (1 + t), na + nb)) & (np.minimum(na, nb) >= least(t, np.maximum(na, nb)))
+
+
+def enough_words(p: JoinParams):
+    return F.col("text").rlike("(?U)" + "\\W+".join(["\\w+"] * p.shingle))
+
+
+def clean_text(column: str):
+    """Texts are copies if they differ in NULs and runs of white space alone."""
+    return F.trim(F.regexp_replace(F.regexp_replace(column, "\\x00", ""), "[ \\t\\r\\n\\f]+", " "))
+
+
 def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
     """Rarity of every sketch counter over all of ``texts(id, text)``: 8 log2 of its count, 0 for one or none."""
     bits, seg = p.sketch_bits, min(SEGMENT_BITS, p.sketch_bits)
@@ -76,6 +90,21 @@ def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
     return levels
 
 
+def _ordered(of: np.ndarray, s: np.ndarray, n: np.ndarray, levels: np.ndarray, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of some texts, rarest first in each: (shingle, text, level, place, whether it is in the prefix)."""
+    level = levels[(s >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
+    order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
+    order = order[np.argsort(of[order], kind="stable")]
+    pos = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+    return s[order], of[order], level[order], pos, pos < np.repeat(n - least(p.threshold, n) + 1, n)
+
+
+def prefixes(of: np.ndarray, s: np.ndarray, n: np.ndarray, levels: np.ndarray, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(shingle, text, place)`` of the shingles in the texts' prefixes."""
+    s, of, _, pos, posted = _ordered(of, s, n, levels, p)
+    return s[posted], of[posted].astype(np.int64), pos[posted]
+
+
 def _remaining(s: np.ndarray, of: np.ndarray, n: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """For each kept place the number of later shingles of its text in each of 16 hash groups (255: that or more)."""
     group = (s >> np.uint64(23)).astype(np.uint8) & 15
@@ -93,7 +122,6 @@ def postings(texts: DataFrame, levels, p: JoinParams, buckets: int, fresh: bool
     ``levels`` is a broadcast of :func:`shingle_levels`. With ``drop_unique`` shingles that only one text has are
     not posted: right only if ``levels`` counted every text that will be probed.
     """
-    top = np.uint64(64 - p.sketch_bits)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
@@ -103,13 +131,8 @@ def postings(texts: DataFrame, levels, p: JoinParams, buckets: int, fresh: bool
                 of, s, n = shingles(rows[a:b], p.shingle)
                 if not len(s):
                     continue
-                level = level_of[(s >> top).astype(np.int64)]
-                order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
-                order = order[np.argsort(of[order], kind="stable")]
-                s, of, level = s[order], of[order], level[order]
-                pos = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                s, of, level, pos, posted = _ordered(of, s, n, level_of, p)
                 size = np.repeat(n, n)
-                posted = pos < size - np.repeat(_least(p.threshold, n), n) + 1
                 if drop_unique:
                     posted &= level > 0
                 keep = np.flatnonzero(posted)
@@ -141,7 +164,7 @@ def _flat(table: pa.Table) -> dict[str, np.ndarray]:
 
 def _meet(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
     """Which of the pairs (i, j) that share a token can still reach similarity ``t``."""
-    need = _least(t / (1 + t), x["n"][i].astype(np.int64) + x["n"][j])
+    need = least(t / (1 + t), x["n"][i].astype(np.int64) + x["n"][j])
     ok = 1 + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) - 1 >= need
     ok &= (x["fresh"][i] | x["fresh"][j]) & (x["id"][i] != x["id"][j])
     at = np.flatnonzero(ok)
@@ -165,7 +188,7 @@ def _pairs_of(x: dict[str, np.ndarray], t: float, hot: int) -> tuple[list, np.nd
     place, length = np.arange(len(token)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
     left = length - place - 1
     # the smaller set of a pair: it must hold the token early enough to be contained in a set of its own size
-    live = np.flatnonzero((left > 0) & (n - x["pos"] >= _least(2 * t / (1 + t), n)))
+    live = np.flatnonzero((left > 0) & (n - x["pos"] >= least(2 * t / (1 + t), n)))
     found, k = [], 1
     hot_list = length > hot
     live_hot = live[hot_list[live]]
@@ -176,7 +199,7 @@ def _pairs_of(x: dict[str, np.ndarray], t: float, hot: int) -> tuple[list, np.nd
             found.append((x["id"][i[ok]], x["id"][j[ok]]))
     while len(live):
         j = live + k
-        near = n[live] >= _least(t, n[j])  # sizes only grow along the list
+        near = n[live] >= least(t, n[j])  # sizes only grow along the list
         live, j = live[near], j[near]
         ok = _meet(x, live, j, t)
         found.append((x["id"][live[ok]], x["id"][j[ok]]))
@@ -241,7 +264,7 @@ def bounded(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 260) for c in (2, 3))
-            need = _least(p.threshold / (1 + p.threshold), x[:, :4].copy().view(np.int32)[:, 0].astype(np.int64) + y[:, :4].copy().view(np.int32)[:, 0])
+            need = least(p.threshold / (1 + p.threshold), x[:, :4].copy().view(np.int32)[:, 0].astype(np.int64) + y[:, :4].copy().view(np.int32)[:, 0])
             x, y = x[:, 4:], y[:, 4:]
             ok = (np.minimum(x, y).sum(1, dtype=np.int64) >= need) | (x == 255).any(1) | (y == 255).any(1)
             yield batch.select([0, 1]).filter(pa.array(ok))
@@ -265,32 +288,44 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
     return both.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= p.threshold)
 
 
-def _hot_pairs(posted: DataFrame, hot: DataFrame, members: DataFrame, p: JoinParams) -> DataFrame:
-    """Candidates of hot lists between texts that are not yet in one group, by salted pairs of blocks."""
-    t, fields = p.threshold, ["token", "id", "n", "pos", "rest_a", "rest_b"]
-    rows = posted.join(hot.select(F.col("b").cast("int").alias("bucket")).distinct(), "bucket", "left_semi")
-    rows = rows.select("fresh", F.explode(F.arrays_zip(*fields)).alias("x")).select("fresh", *(f"x.{c}" for c in fields))
-    rows = rows.join(hot.select(F.col("a").alias("token")).distinct(), "token", "left_semi")
+def hot_pairs(rows: DataFrame, members: DataFrame, p: JoinParams) -> DataFrame:
+    """``(a, b)``: candidates of hot lists ``rows(token, id, n, pos, fresh)`` between texts that are not yet in one group.
+
+    ``members(node, component)`` says which are. Of each list only the texts outside its largest group are compared,
+    with all of the list, in salted blocks of about ``hot`` rows each way; lists of one group have nothing left.
+    """
+    t, fields = p.threshold, ["id", "n", "pos", "fresh", "component"]
     rows = rows.join(members.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    size = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(size.select("token", F.ceil(F.col("rows") / p.hot).cast("int").alias("blocks")), "token")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = materialize(rows.select("token", *fields), "rows")
+    groups = rows.groupBy("token", "component").agg(F.count("*").alias("c"))
+    size = groups.groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("groups")).where("groups > 1")
+    size = size.select("token", F.col("most.component").alias("largest"), F.ceil(F.col("c") / p.hot).cast("int").alias("blocks"), F.ceil((F.col("c") - F.col("most.c")) / p.hot).cast("int").alias("others"))
+    rows = rows.join(broadcast_if_small(materialize(size, "hot-lists")), "token")
+    across, block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("others")).cast("int"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where("component <> largest").select("token", across.alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"), *fields)
+    right = rows.select("token", every("others").alias("i"), block.alias("j"), F.lit(False).alias("outside"), *fields)
 
     def probe(table: pa.Table) -> pa.Table:
-        x = {c: table.column(c).to_numpy() for c in [*fields, "fresh", "component", "block"]}
-        own, (i, j) = x.pop("block"), (table.column("i")[0].as_py(), table.column("j")[0].as_py())
-        x["rest"] = np.stack([x.pop("rest_a"), x.pop("rest_b")], 1).view(np.uint8)
-        found, right = [], np.flatnonzero(own == j)
-        for at in np.flatnonzero(own == i):
-            with_ = right[(x["component"][right] != x["component"][at])]
-            with_ = with_[with_ > at] if i == j else with_
-            ok = _meet(x, np.full(len(with_), at), with_, t)
-            found.append((np.full(ok.sum(), x["id"][at]), x["id"][with_[ok]]))
-        return _emit(found, np.zeros(0, np.int64), 0)
-
-    return rows.groupBy("token", "i", "j").applyInArrow(probe, "a bigint, b bigint, hot boolean")
+        x = {c: table.column(c).to_numpy() for c in fields}
+        outside, found = table.column("outside").to_numpy(), [np.zeros((0, 2), np.int64)]
+        right = np.flatnonzero(~outside)
+        for at in np.flatnonzero(outside):
+            with_ = right[(x["component"][right] != x["component"][at]) & (x["fresh"][right] | x["fresh"][at])]
+            with_ = with_[can_reach(x["n"][with_].astype(np.int64), x["pos"][with_], np.int64(x["n"][at]), x["pos"][at], t)]
+            found.append(np.stack([np.full(len(with_), x["id"][at]), x["id"][with_]], 1))
+        pairs = np.concatenate(found)
+        pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return left.unionByName(right).groupBy("token", "i", "j").applyInArrow(probe, "a bigint, b bigint")
+
+
+def _hot_rows(posted: DataFrame, hot: DataFrame) -> DataFrame:
+    fields = ["token", "id", "n", "pos"]
+    rows = posted.join(hot.select(F.col("b").cast("int").alias("bucket")).distinct(), "bucket", "left_semi")
+    rows = rows.select("fresh", F.explode(F.arrays_zip(*fields)).alias("x")).select("fresh", *(f"x.{c}" for c in fields))
+    return rows.join(hot.select(F.col("a").alias("token")).distinct(), "token", "left_semi")
 
 
 def join_links(posted: DataFrame, texts: DataFrame, p: JoinParams, prune=None) -> DataFrame:
@@ -306,7 +341,7 @@ def join_links(posted: DataFrame, texts: DataFrame, p: JoinParams, prune=None) -
     if hot.isEmpty():
         return links
     members = connected_components(links, "a", "b")
-    more = materialize(_hot_pairs(posted, hot, members, p).select("a", "b").distinct(), "hot")
+    more = materialize(hot_pairs(_hot_rows(posted, hot), members, p).distinct(), "hot")
     return links.unionByName(verified(keep(more), texts, p))
 
 
@@ -319,7 +354,41 @@ def copies(df: DataFrame, order: list[str]) -> DataFrame:
 
     Texts are the same here if they differ in NULs and runs of white space alone. Only hashes are shuffled.
     """
-    clean = F.trim(F.regexp_replace(F.regexp_replace("text", "\\x00", ""), "[ \\t\\r\\n\\f]+", " "))
+    clean = clean_text("text")
     keyed = df.where("text is not null").select("id", F.xxhash64(clean, F.length(clean)).alias("h"), F.struct(*order, "id").alias("o"))
     groups = keyed.groupBy("h").agg(F.min("o").alias("o"), F.count("*").alias("c")).where("c > 1").select("h", F.col("o.id").alias("first"))
     return keyed.select("id", "h").join(groups, "h").where("id <> first").select("id", "first").distinct()
+
+
+def firsts(links: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
+    """``(first_id, id)`` for every row of ``docs(id, *order)`` that the links ``(a, b)`` connect to one before it."""
+    groups = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "groups")
+    members = docs.select("id", *order).join(groups, "id").distinct()
+    first = members.groupBy("component").agg(F.min(F.struct(*order, "id"))["id"].alias("first_id"))
+    return members.join(first, "component").where("id <> first_id").select("first_id", "id").distinct()
+
+
+def near_links(docs: DataFrame, order: list[str], p: JoinParams, prune=None) -> DataFrame:
+    """``(a, b)``: links that connect every group of near-duplicate texts of ``docs(id, text, *order)``, copies included.
+
+    Copies are set aside by hash first, so that a text that makes up a third of all rows is joined once.
+    ``prune(pairs, texts)`` keeps the candidates worth verifying.
+    """
+    same = materialize(copies(docs.where(enough_words(p)), order), "copies")
+    single = docs.join(broadcast_if_small(same.select("id")), "id", "left_anti")
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(single, p))
+    posted = postings(single, levels, p, bucket_count(docs))
+    links = join_links(posted, single, p, prune and (lambda pairs: prune(pairs, single)))
+    return links.select("a", "b").unionByName(same.select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+
+def near_duplicate_groups(docs: DataFrame, order: list[str], p: JoinParams = JoinParams(), prune=None) -> DataFrame:
+    """``(first_id, id)`` for every text of ``docs(id, text, *order)`` that is not the first of its group.
+
+    A group is connected through pairs of similarity ``p.threshold`` or more; the first is the least by ``order``
+    and ``id``. Texts of fewer than ``p.shingle`` words (null and empty ones too) belong to no group. Repeated rows of
+    one id count once (of different texts under one id each may link it); rows of null id are left out; an empty table
+    gives an empty result; other columns are not looked at.
+    """
+    docs = docs.where("id is not null").select("id", "text", *order)
+    return firsts(near_links(docs, order, p, prune), docs, order)

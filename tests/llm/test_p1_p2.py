@@ -74,7 +74,7 @@ def test_groups_are_those_of_all_pairs(spark, seed):
     texts += [None, "", "one two", "one two", texts[0].upper() + ".", texts[0].replace(" ", "\n  "), texts[3] + "\0", "x y z " * 4000, "x y z " * 4000 + " end"]
     rows = [(i + 1, t, i // 7) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id bigint, text string, ingest_batch int").withColumns({"x": F.lit(1), "first_id": F.lit("a"), "token": F.lit(0)})
-    got = {tuple(r) for r in p1_history.near_duplicate_groups(df, ["ingest_batch"]).select("first_id", "id").collect()}
+    got = {tuple(r) for r in simjoin.near_duplicate_groups(df, ["ingest_batch"], p1_history.NEAR).select("first_id", "id").collect()}
     assert got == groups([(i, t) for i, t, _ in rows])
 
 
@@ -85,68 +85,98 @@ def test_hot_lists_lose_no_link(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "id bigint, text string")
     p = simjoin.JoinParams(shingle=3, threshold=0.6, hot=8)
-    got = {tuple(r) for r in p1_history.near_duplicate_groups(df, [], p).select("first_id", "id").collect()}
+    got = {tuple(r) for r in simjoin.near_duplicate_groups(df, [], p).select("first_id", "id").collect()}
     assert got == groups(rows)
 
 
 def test_default_is_five_words_and_point_eight(spark):
     texts = corpus(4, 25)
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    got = {tuple(r) for r in p1_history.near_duplicate_groups(df, [], simjoin.JoinParams()).select("first_id", "id").collect()}
+    got = {tuple(r) for r in simjoin.near_duplicate_groups(df, [], simjoin.JoinParams()).select("first_id", "id").collect()}
     assert got == groups(list(enumerate(texts)), 0.8, 5)
 
 
 def test_no_rows_and_null_ids(spark):
     df = spark.createDataFrame([], "id bigint, text string, ingest_batch int")
-    assert p1_history.near_duplicate_groups(df, ["ingest_batch"]).count() == 0
+    assert simjoin.near_duplicate_groups(df, ["ingest_batch"], p1_history.NEAR).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (1, "a b c d")], "id bigint, text string")
-    assert p1_history.near_duplicate_groups(df, []).count() == 0
+    assert simjoin.near_duplicate_groups(df, [], p1_history.NEAR).count() == 0
 
 
 def test_a_repeated_row_counts_once(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "id bigint, text string")
-    assert [tuple(r) for r in p1_history.near_duplicate_groups(df, []).select("first_id", "id").collect()] == [(1, 2)]
+    assert [tuple(r) for r in simjoin.near_duplicate_groups(df, [], p1_history.NEAR).select("first_id", "id").collect()] == [(1, 2)]
 
 
-def test_batches_against_the_index(spark, tmp_path):
+def fold(spark, path, rows, cut, **kw):
+    """The index after batches of ``cut`` rows each, with the numbers of the batches."""
+    df = spark.createDataFrame([(i, t, n // cut) for n, (i, t) in enumerate(rows)], "id bigint, text string, batch int").withColumns({"n": F.lit(1), "token": F.lit("x"), "part": F.lit(0)})
+    index = p1_history.HistoryIndex(spark, f"file://{path}/index", **{"buckets": 4} | kw).start(df.where("batch = 0"))
+    for k in range(-(-len(rows) // cut)):
+        index.add(df.where(F.col("batch") == k))
+    return index, df
+
+
+def first_of_groups(index, df):
+    return {tuple(r) for r in simjoin.firsts(index.links().select("a", "b"), df, []).select("first_id", "id").collect()}
+
+
+def test_batches_find_what_all_pairs_find(spark, tmp_path):
     texts = corpus(7, 40)
-    raw = [f"{i:064x}" for i in range(len(texts))]
-    raw[-1] = "SHA256:" + raw[2].upper()
-    texts[-1] = "quite another text than the third one has"
-    empty = p1_history.EMPTY_FILE
-    rows = [(i + 1, t, h, empty, i) for i, (t, h) in enumerate(zip(texts, raw, strict=True))]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, raw_content_hash string, normalized_content_hash string, n int")
-    index = p1_history.HistoryIndex(spark, f"file://{tmp_path}/index", buckets=8)
-    found, cuts = {}, [0, len(rows) // 3, 2 * len(rows) // 3, len(rows)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        batch = p1_history.batch_rows(df.where((F.col("n") >= a) & (F.col("n") < b)))
-        if a == 0:
-            index.start(batch)
-        accepted = df.where(F.col("n") < a).select(F.col("doc_id").alias("id"), "text") if a else None
-        hits = index.probe(batch, accepted)
-        found |= {r.id: (r.duplicate_of, r.matched_by) for r in hits.collect()}
-        index.append(batch, hits)
-    want = dict((i, f) for f, i in groups([(r[0], r[1]) for r in rows]))
-    assert found.pop(len(rows)) == (3 if 3 not in want else want[3], "raw_hash")
-    # a batch may join two groups that were apart before: then the earlier verdicts stand, and the new one names the first
-    for i, (first, by) in found.items():
-        assert by == "near_text" and want[i] <= first
-    assert set(found) <= set(want) and len(set(want) - set(found)) <= 2
-
-
-def test_hash_copies_of_an_edited_history_document(spark, tmp_path):
+    texts += [None, "", "one two", "one two", texts[0], texts[1].replace(" ", "\n  "), "x y z " * 4000, "x y z " * 4000 + " end", texts[3] + "\0"]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    index, df = fold(spark, tmp_path, rows, 25, most=60)  # the postings of a batch go by slices
+    assert first_of_groups(index, df) == groups(rows)
+    # every link has its later end in the batch that found it
+    assert index.links().where("a <= b").count() == 0
+
+
+def test_hot_lists_of_an_index_lose_no_link(spark, tmp_path):
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(40)]
+    texts = [" ".join(edited(rng, base, rng.randrange(1, 6))) for _ in range(70)] + corpus(9, 15)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    index, df = fold(spark, tmp_path, rows, 40, p=simjoin.JoinParams(shingle=3, threshold=0.6, hot=3))
+    assert first_of_groups(index, df) == groups(rows)
+
+
+def test_an_index_in_a_new_order_finds_the_same(spark, tmp_path):
+    rows = [(i + 1, t) for i, t in enumerate(corpus(8, 30))]
+    index, df = fold(spark, tmp_path, rows[:40], 20)
+    new = index.reordered(f"file://{tmp_path}/new", df)
+    rest = spark.createDataFrame(rows[40:], "id bigint, text string")
+    found = []
+    for i in (index, new):
+        number = i.add(rest)
+        found.append({tuple(r) for r in i.duplicates(number).collect()})
+    want = {i: f for f, i in groups(rows)}
+    assert found[0] == found[1] == {(i, want[i], "near_text") for i, _ in rows[40:] if i in want}
+
+
+def test_an_empty_index_and_null_ids(spark, tmp_path):
+    empty = spark.createDataFrame([], "id bigint, text string")
+    index = p1_history.HistoryIndex(spark, f"file://{tmp_path}/index", buckets=4).start(empty)
+    assert index.duplicates(index.add(empty)).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (4, "A b, c d"), (5, "a b c d"), (6, None)], "id bigint, text string")
+    assert {tuple(r) for r in index.duplicates(index.add(rows)).collect()} == {(4, 3, "near_text"), (5, 3, "near_text")}
+
+
+def test_hashes_link_documents_to_the_first_of_their_group(spark, tmp_path):
     old = " ".join(WORDS[:20])
     rows = [(1, old, "a"), (5, old + " more", "b"), (6, "scanned otherwise entirely", "b"), (7, "alone here now", "c"), (8, old + " again", "b")]
     docs = spark.createDataFrame([(i, t, h * 64) for i, t, h in rows], "doc_id bigint, text string, raw_content_hash string")
-    docs = docs.withColumn("normalized_content_hash", F.lit(None).cast("string"))
+    docs = docs.withColumn("normalized_content_hash", F.when(F.col("doc_id") == 7, F.lit(p1_history.EMPTY_FILE)))
     index = p1_history.HistoryIndex(spark, f"file://{tmp_path}/index", buckets=4)
     history, batch = p1_history.batch_rows(docs.where("doc_id = 1")), p1_history.batch_rows(docs.where("doc_id > 1"))
-    index.start(history).append(history, spark.createDataFrame([], "id bigint, duplicate_of bigint"))
-    hits = index.probe(batch, history.select("id", "text"))
-    assert {tuple(r) for r in hits.collect()} == {(5, 1, "near_text"), (6, 1, "raw_hash"), (8, 1, "raw_hash")}
-    index.append(batch, hits)
-    again = p1_history.batch_rows(docs.where("doc_id = 6").withColumn("doc_id", F.lit(9).cast("long")))
-    assert [tuple(r) for r in index.probe(again, docs.select(F.col("doc_id").alias("id"), "text")).collect()] == [(9, 1, "raw_hash")]
+    index.start(history).add(history)
+    assert {tuple(r) for r in index.duplicates(index.add(batch)).collect()} == {(5, 1, "near_text"), (6, 1, "raw_hash"), (8, 1, "raw_hash")}
+    again = p1_history.batch_rows(docs.where("doc_id = 6").withColumn("doc_id", F.lit(9).cast("long")).withColumn("raw_content_hash", F.concat(F.lit("SHA256:"), F.upper("raw_content_hash"))))
+    assert [tuple(r) for r in index.duplicates(index.add(again)).collect()] == [(9, 1, "raw_hash")]
+
+
+def test_slices_hold_every_bucket_once():
+    assert p1_history.slices({3: 5, 1: 4, 2: 6, 9: 20}, 10) == [[1, 2], [3], [9]] and p1_history.slices({}, 10) == []
 
 
 def test_records_within_their_kind(spark):
