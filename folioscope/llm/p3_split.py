@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +17,8 @@ class SplitParams:
     """A piece has at most ``max_words`` white-space separated words and ``max_chars`` characters, its overlap included.
 
     The overlap is the last ``overlap_words`` words of the piece before, or as many of them as fit into
-    ``overlap_chars`` characters.
+    ``overlap_chars`` characters; where not even the last word fits (text without blanks), its last ``overlap_chars``
+    characters, from a sentence mark on if there is one.
     """
 
     max_words: int = 320
@@ -28,9 +30,10 @@ class SplitParams:
 #: Boundaries, strongest first; a cut lies after the match. Fixed values.
 BOUNDARIES = [re.compile(p) for p in (r"\n[ \t\r]*\n\s*(?=#)", r"\n[ \t\r]*\n\s*", r"\n\s*(?=(?:[-*|]|\d+[.)])\s)", r"[.!?…][\"'”’»)\]]*\s+", r"\n\s*", r"[;:,]\s+", r"\s+")]
 WORD = re.compile(r"\S+")
+MARK = re.compile(r"[.!?…。！？、，；]")
 
 
-def _cut(text: str, lo: int, hi: int, at_least: int) -> int:
+def _cut(text: str, lo: int, hi: int) -> int:
     """The strongest boundary of ``text[lo:hi]`` near its midpoint; a hard cut at the midpoint if there is none.
 
     Near is within a quarter of the length; white space is also looked for in all of the text.
@@ -44,6 +47,22 @@ def _cut(text: str, lo: int, hi: int, at_least: int) -> int:
     return mid
 
 
+def _overlap(text: str, before: int, at: int, p: SplitParams) -> int:
+    """Where the overlap of a piece that begins ``at`` begins, the piece before having begun at ``before``."""
+    words = [m.start() for m in WORD.finditer(text, before, at)][-p.overlap_words :] if p.overlap_words else []
+    if not words:
+        return at
+    fits = next((w for w in words if at - w <= p.overlap_chars), at)
+    if fits < at:
+        return fits
+    start = at - p.overlap_chars
+    mark = MARK.search(text, start, at - 1)
+    start = mark.end() if mark else start
+    while start < at and unicodedata.combining(text[start]):
+        start += 1
+    return start
+
+
 def split_text(text: str, p: SplitParams = SplitParams()) -> list[tuple[int, int, int]]:
     """``(start, own_start, end)`` of each piece: ``text[own_start:end]`` are consecutive, ``text[start:own_start]`` the overlap.
 
@@ -60,17 +79,13 @@ def split_text(text: str, p: SplitParams = SplitParams()) -> list[tuple[int, int
     while stack:
         a, b = stack.pop()
         if b - a > 1 and (b - a > p.max_chars - p.overlap_chars or words(a, b) > p.max_words - p.overlap_words):
-            m = _cut(text, a, b, 1)
+            m = _cut(text, a, b)
             stack += [(m, b), (a, m)]
         else:
             own.append((a, b))
     out = []
     for i, (a, b) in enumerate(own):
-        start = a
-        if i:
-            before = own[i - 1][0]
-            tail = [m.start() for m in WORD.finditer(text, before, a)][-p.overlap_words :]
-            start = next((s for s in tail if a - s <= p.overlap_chars), a)
+        start = _overlap(text, own[i - 1][0], a, p) if i else a
         out.append((start, a, b))
     return out
 
@@ -111,3 +126,18 @@ def split(records: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
 def oversized(records: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
     """``(record_kind, record_id)`` of the records that :func:`split` cuts, each once."""
     return split(records, p).where("piece = 0").select("record_kind", "record_id")
+
+
+def invariants(records: DataFrame, pieces: DataFrame, p: SplitParams = SplitParams()) -> DataFrame:
+    """``(record_kind, record_id, n_chars, contiguous, within_limits, overlapping)`` of the records that were cut.
+
+    Pieces must give the whole text one after the other, keep both limits, and repeat the end of the piece before.
+    """
+    order = Window.partitionBy("record_kind", "record_id").orderBy("piece")
+    seen = pieces.withColumns({"before_end": F.lag("end").over(order), "before_start": F.lag("own_start").over(order), "last": F.lead("piece").over(order).isNull()})
+    follows = F.when(F.col("piece") == 0, F.col("own_start") == 0).otherwise(F.col("own_start") == F.col("before_end"))
+    within = (F.length("text") == F.col("end") - F.col("start")) & (F.length("text") <= p.max_chars) & (F.col("n_words") <= p.max_words)
+    repeats = F.when(F.col("piece") == 0, F.col("start") == F.col("own_start")).otherwise((F.col("start") < F.col("own_start")) & (F.col("start") >= F.col("before_start")))
+    whole = seen.groupBy("record_kind", "record_id").agg(F.max("end").alias("n_chars"), F.every(follows).alias("contiguous"), F.every(within).alias("within_limits"), F.every(repeats).alias("overlapping"))
+    long = records.where("text is not null").select("record_kind", "record_id", F.length("text").alias("n_text")).distinct()
+    return whole.join(long, ["record_kind", "record_id"]).select("record_kind", "record_id", "n_chars", (F.col("contiguous") & (F.col("n_text") == F.col("n_chars"))).alias("contiguous"), "within_limits", "overlapping")

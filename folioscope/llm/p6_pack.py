@@ -15,14 +15,15 @@ from folioscope.plans.materialize import materialize
 
 #: Items packed together in one task, on average; each such lot leaves at most a few open containers.
 LOT = 4096
-#: A container holds no two items of one duplicate cluster, and items of at most so many sources.
-MAX_SOURCES = 6
+#: Containers with more than this share unused after a round are packed again, together with those of other lots.
+ILL_FILLED = 1 / 64
+ROUNDS = 4
 
 
 class _Bins:
     """Open containers by what is left in them; each carries a bitmap of its sources and one of its clusters."""
 
-    def __init__(self, capacity: int, max_sources: int):
+    def __init__(self, capacity: int, max_sources: int | None):
         self.capacity, self.max_sources = capacity, max_sources
         self.left: list[int] = []
         self.sources: list[int] = []
@@ -38,7 +39,7 @@ class _Bins:
             step = (rest & -rest).bit_length() - 1
             left += step
             for b in reversed(self.at[left]):
-                if not self.clusters[b] & cluster and (self.sources[b] | want).bit_count() <= self.max_sources:
+                if not self.clusters[b] & cluster and (self.max_sources is None or (self.sources[b] | want).bit_count() <= self.max_sources):
                     self.at[left].remove(b)
                     if not self.at[left]:
                         self.some &= ~(1 << left)
@@ -63,7 +64,7 @@ class _Bins:
         self.some |= 1 << left
 
 
-def pack_lot(ids: list, sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, max_sources: int = MAX_SOURCES) -> list[tuple]:
+def pack_lot(ids: list, sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, max_sources: int | None = None) -> list[tuple]:
     """``(id, piece, container, tokens, left)`` for every item; an item above ``capacity`` is cut into full pieces and a rest."""
     bins, out = _Bins(capacity, max_sources), []
     _, source_of = np.unique(sources, return_inverse=True)
@@ -86,34 +87,62 @@ def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return with_tokens(docs.select("id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64(clean).alias("cluster"), "text"), vocabulary)
 
 
-def pack(items: DataFrame, capacities: dict[str, int], max_sources: int = MAX_SOURCES, lot: int = LOT) -> DataFrame:
+def pack(items: DataFrame, capacities: dict[str, int], max_sources: int | None = None, lot: int = LOT) -> DataFrame:
     """``(pack_name, id, piece, container, n_tokens, unused_tokens)`` of ``items(id, source, cluster, n_tokens)``.
 
-    Every item is in one container of each capacity, cut only if it alone exceeds it. Items are spread by a hash of
-    their id over lots of about ``lot`` items, so that neither a source nor a cluster that makes up a third of all
-    rows gathers in one task; only the last containers of a lot stay ill filled. Items of no token are put in
-    without using space; rows of null id are left out; repeated rows of one id count once. Rows come out for every
-    capacity; an empty table gives none.
+    Every item is in one container of each capacity, cut only if it alone exceeds it. A container holds no two items of
+    one cluster, and items of at most ``max_sources`` sources if that is given. Items are spread by a hash of their id
+    over lots of about ``lot`` items, so that neither a source nor a cluster that makes up a third of all rows gathers
+    in one task; what lies in the ill filled containers of all lots is packed again in lots, for ``ROUNDS`` rounds, each
+    with far fewer items than the one before. Items of no token are put in without using space; rows of null id are
+    left out; repeated rows of one id count once. Rows come out for every capacity; an empty table gives none.
     """
-    items = materialize(items.where("id is not null").select("id", "source", "cluster", "n_tokens"), "sized")
-    lots = max(1, math.ceil(items.count() / lot))
-    ddl = "pack_name string, id bigint, piece int, container bigint, n_tokens int, unused_tokens int"
-
-    def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
-        ids, sizes = rows.id.tolist(), rows.n_tokens.to_numpy()
-        out = []
-        for name, capacity in capacities.items():
-            got = pack_lot(ids, sizes, rows.source.to_numpy(str), rows.cluster.to_numpy(), capacity, max_sources)
-            out += [(name, i, piece, (int(key[0]) << 32) + b, size, left) for i, piece, b, size, left in got]
-        return pd.DataFrame(out, columns=["pack_name", "id", "piece", "container", "n_tokens", "unused_tokens"])
-
-    return items.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(lots)).cast("int")).groupBy("lot").applyInPandas(each, ddl)
+    items = items.where("id is not null").select("id", "source", "cluster", "n_tokens").withColumn("pack_name", F.explode(F.array(*map(F.lit, capacities))))
+    ddl = "pack_name string, id bigint, source string, cluster bigint, piece int, container bigint, n_tokens int, unused_tokens int"
+    rows, done = materialize(items.withColumn("piece", F.lit(0)), "sized"), None
+
+    def packed(rows: DataFrame, turn: int) -> DataFrame:
+        sizes = {r.pack_name: max(1, math.ceil(r["count"] / lot)) for r in rows.groupBy("pack_name").count().collect()}  # a row for each capacity
+        lots = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map(F.lit(""), F.lit(1))
+
+        def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.drop_duplicates(["id", "piece"]).sort_values(["id", "piece"]).reset_index(drop=True)
+            got = pack_lot(list(range(len(rows))), rows.n_tokens.to_numpy(), rows.source.to_numpy(str), rows.cluster.to_numpy(), capacities[key[0]], max_sources)
+            at, piece, bins, size, left = (list(x) for x in zip(*got, strict=True))
+            out = rows.iloc[at].reset_index(drop=True)
+            out["piece"] = out["piece"] + piece  # a cut item's rest keeps its number when it is packed again
+            return out.assign(container=[(turn << 56) + (int(key[1]) << 28) + b for b in bins], n_tokens=size, unused_tokens=left)[[c.split()[0] for c in ddl.split(", ")]]
+
+        spread = rows.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6 + turn)), lots[F.col("pack_name")]).cast("int"))
+        return materialize(spread.groupBy("pack_name", "lot").applyInPandas(each, ddl), "packed")
+
+    limit = F.create_map(*(x for name, capacity in capacities.items() for x in (F.lit(name), F.lit(int(capacity * ILL_FILLED)))))[F.col("pack_name")]
+    for turn in range(ROUNDS):
+        got = packed(rows, turn)
+        again = got.where(F.col("unused_tokens") > limit)
+        last = turn == ROUNDS - 1 or again.select("pack_name", F.shiftright("container", 28)).distinct().limit(len(capacities) + 1).count() <= len(capacities)  # one lot each
+        kept = got if last else got.where(F.col("unused_tokens") <= limit)
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            break
+        rows = again.select("id", "source", "cluster", "n_tokens", "pack_name", "piece")
+    return done.select("pack_name", "id", "piece", "container", "n_tokens", "unused_tokens")
 
 
 def unused(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Per pack: containers, tokens held, tokens unused and the unused share of all capacity."""
+    """Per pack: containers, the fewest that the tokens could fill, tokens held, tokens unused and the unused share of all capacity."""
     bins = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("held"), F.max("unused_tokens").alias("unused"))
     total = bins.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("held").alias("held_tokens"), F.sum("unused").alias("unused_tokens"))
     share = F.round(F.col("unused_tokens") / (F.col("held_tokens") + F.col("unused_tokens")), 6)
-    return total.join(capacities.select("pack_name", "capacity_tokens"), "pack_name").withColumn("unused_share", share)
+    total = total.join(capacities.select("pack_name", "capacity_tokens"), "pack_name")
+    return total.withColumn("least_containers", F.ceil(F.col("held_tokens") / F.col("capacity_tokens"))).withColumn("unused_share", share)
+
+
+def invariants(packed: DataFrame, capacities: DataFrame) -> DataFrame:
+    """``(pack_name, documents, overfull, needlessly_cut)``: documents placed, containers beyond the capacity, documents cut though they fit."""
+    caps = capacities.select("pack_name", "capacity_tokens")
+    bins = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("held"), F.max("unused_tokens").alias("left")).join(caps, "pack_name")
+    over = bins.groupBy("pack_name").agg(F.count_if(F.col("held") + F.col("left") != F.col("capacity_tokens")).alias("overfull"))
+    docs = packed.groupBy("pack_name", "id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("size")).join(caps, "pack_name")
+    cut = docs.groupBy("pack_name").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens")))).alias("needlessly_cut"))
+    return cut.join(over, "pack_name").select("pack_name", "documents", "overfull", "needlessly_cut")

@@ -54,6 +54,11 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return p3_split.split(_passages(spark, sf))
 
 
+def p3_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    records = _passages(spark, sf)
+    return p3_split.invariants(records, p3_split.split(records))
+
+
 def _noise(spark: SparkSession, sf: str) -> DataFrame:
     titles = _read(spark, sf, "documents").select("doc_id", "title").unionByName(_read(spark, sf, "parsed_documents").select("doc_id", "title"))
     return p4_scans.scan_noise(_read(spark, sf, "parsed_sections"), titles)
@@ -77,14 +82,33 @@ def p6_unused_space(spark: SparkSession, sf: str) -> DataFrame:
     return p6_pack.unused(_packed(spark, sf), _read(spark, sf, "pack_sizes"))
 
 
+def p6_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pack.invariants(_packed(spark, sf), _read(spark, sf, "pack_sizes"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, p7_mix.Mix, DataFrame]:
+    docs, targets = materialize(p7_mix.documents_by_source(_read(spark, sf, "documents")), "tokens"), _read(spark, sf, "mix_targets")
+    plan = p7_mix.plan_mix(docs, targets)
+    return docs, targets, plan, p7_mix.select_mix(docs, plan)
+
+
 def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
-    docs = p7_mix.documents_by_source(_read(spark, sf, "documents"))
-    return p7_mix.select_mix(docs, _read(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
+    return _mixed(spark, sf)[3].withColumnRenamed("id", "doc_id")
 
 
 def p7_actual_shares(spark: SparkSession, sf: str) -> DataFrame:
-    docs, targets = materialize(p7_mix.documents_by_source(_read(spark, sf, "documents")), "tokens"), _read(spark, sf, "mix_targets")
-    return p7_mix.shares(p7_mix.select_mix(docs, targets), docs, targets)
+    docs, targets, plan, mix = _mixed(spark, sf)
+    return p7_mix.shares(mix, docs, targets, plan)
+
+
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source of the targets: whether its repeats keep the limit, and its share the target unless the limit binds."""
+    docs, targets, plan, mix = _mixed(spark, sf)
+    largest = docs.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    told = p7_mix.shares(mix, docs, targets, plan).join(largest, "source", "left")
+    missed = F.coalesce("largest", F.lit(0)) / F.lit(max(plan.total, 1.0))  # a budget is missed by less than a document
+    met = F.col("binding") | (F.col("available_tokens") == 0) | (F.col("actual_share") >= F.col("target_share") - missed)
+    return told.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), met.alias("target_met_or_limit_binds"))
 
 
 def _points(spark: SparkSession, sf: str) -> p5_neighbours.Points:
@@ -120,6 +144,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_invariants": p3_invariants,
     "p4_found": p4_found,
     "p4_repaired": _noise,
     "p5_found": p5_found,
@@ -127,8 +152,10 @@ QUERIES = {
     "p5_missed_share": p5_missed_share,
     "p6_containers": p6_containers,
     "p6_unused_space": p6_unused_space,
+    "p6_invariants": p6_invariants,
     "p7_selection": p7_selection,
     "p7_actual_shares": p7_actual_shares,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_restored": _restored,
 }
@@ -141,4 +168,9 @@ ORACLES: dict[str, str] = {
     "p3_found": f"""
 SELECT DISTINCT 'chunk' AS record_kind, chunk_id AS record_id FROM (SELECT chunk_id, chunk_text AS text FROM chunks) WHERE {_LONG}
 UNION ALL SELECT DISTINCT 'section', section_id FROM parsed_sections WHERE {_LONG}""",
+    "p3_invariants": f"""
+SELECT DISTINCT 'chunk' AS record_kind, chunk_id AS record_id, CAST(length(text) AS INTEGER) AS n_chars, true AS contiguous, true AS within_limits, true AS overlapping FROM (SELECT chunk_id, chunk_text AS text FROM chunks) WHERE {_LONG}
+UNION ALL SELECT DISTINCT 'section', section_id, CAST(length(text) AS INTEGER), true, true, true FROM parsed_sections WHERE {_LONG}""",
+    "p6_invariants": "SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS needlessly_cut FROM pack_sizes",
+    "p7_invariants": "SELECT source, true AS within_repeats, true AS target_met_or_limit_binds FROM mix_targets",
 }

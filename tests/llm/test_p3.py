@@ -31,6 +31,17 @@ def test_words_without_blanks_are_cut_hard():
     assert len(pieces) > 6 and all(b - a <= 60 for _, a, b in pieces)
 
 
+@pytest.mark.parametrize("text", ["漢" * 6000, "x" * 7000, ("x" * 400 + " ") * 20, "e\u0301" * 4000])
+def test_text_without_blanks_overlaps_too(text):
+    pieces = split_text(text)
+    assert all(0 < own - start <= 320 for start, own, _ in pieces[1:]) and all(end - start <= 3000 for start, _, end in pieces)
+
+
+def test_an_overlap_without_blanks_begins_after_a_sentence():
+    text = ("漢" * 99 + "。") * 60
+    assert all(text[start - 1] == "。" for start, _, _ in split_text(text)[1:])
+
+
 @pytest.mark.parametrize("words, chars, found", [(320, 1, False), (321, 1, True), (10, 3000, False), (10, 3001, True)])
 def test_limits(spark, words, chars, found):
     text = " ".join(["w"] * words)
