@@ -1,6 +1,6 @@
 """Problem 8: text garbled by decoding with a wrong character encoding.
 
-Words with characters beyond ASCII are the states of a best-first search whose edges encode with the encoding that
+Words with characters beyond ASCII, or with entities that stand for such, are the states of a best-first search whose edges encode with the encoding that
 may have been assumed and decode with the one that may be right, or unescape. Its cost is how implausible the
 characters are beside each other, by a model of character pairs counted over the non-ASCII words of all texts.
 """
@@ -28,21 +28,22 @@ RIGHT = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "mac_roma
 LOST = "�"
 #: White-space separated words that hold a character beyond ASCII; no-break spaces may be halves of letters.
 ODD_WORD = re.compile(r"(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*+")
+ANY_WORD = re.compile(r"[^\x00-\x20]+")
+ENTITY = re.compile(rb"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
 _SEPARATORS = bytes.maketrans(bytes(range(0x20)), b" " * 0x20)
 DIGITS = str.maketrans("123456789", "000000000")
 
 
 @dataclass(frozen=True)
 class RepairParams:
-    """``pairs`` most frequent character pairs make up the model and ``words`` words the lexicon (both bounds of what is
-    broadcast: rarer ones cost the same as unseen ones); ``gain`` bits tell a garbled word; ``steps`` is the longest
-    way; ``least_words`` garbled words make a garbled text."""
+    """At most ``pairs`` character pairs make up the model, far more than the scripts of a corpus have, and words of a share
+    of 1 / ``words`` the lexicon (the bounds of what is broadcast; rarer words would make no word cheaper). ``gain`` bits
+    tell a garbled word; ``steps`` is the longest way; ``least_words`` garbled words make a garbled text."""
 
-    pairs: int = 20_000
+    pairs: int = 500_000
     words: int = 200_000
     gain: float = 8.0
     steps: int = 3
-    expand: int = 60
     least_words: int = 2
 
 
@@ -74,11 +75,21 @@ def decode(data: bytes, codec: str) -> str | None:
         return rough if 4 * rough.count(LOST) <= len(rough) + 2 and len(rough) < 0.8 * len(data) else None
 
 
+def plain(word: str) -> str:
+    """A word as it is searched: one of ASCII alone with its entities unescaped."""
+    return html.unescape(word) if word.isascii() else word
+
+
 def odd_words(text: str | None) -> list[str]:
-    """What ``ODD_WORD`` finds, by way of bytes: these split at ASCII blanks alone, and much faster."""
-    if not text or text.isascii():
+    """What ``ODD_WORD`` finds, and words of ASCII whose entities stand for more, unescaped.
+
+    It goes by way of bytes: these split at ASCII blanks alone, and much faster.
+    """
+    if not text or text.isascii() and "&" not in text:
         return []
-    return [w.decode() for w in text.encode("utf-8", "replace").translate(_SEPARATORS).split(b" ") if not w.isascii()]
+    words = text.encode("utf-8", "replace").translate(_SEPARATORS).split(b" ")
+    found = [w.decode() if not w.isascii() else html.unescape(w.decode()) for w in words if not w.isascii() or (b"&" in w and ENTITY.search(w))]
+    return [w for w in found if not w.isascii()]
 
 
 def _pairs(word: str) -> Iterator[str]:
@@ -118,16 +129,19 @@ class Model:
 
 
 def repair(word: str, model: Model, p: RepairParams = RepairParams()) -> tuple[str, tuple]:
-    """The cheapest text that ``word`` may have been, and the way to it; the word itself and () if none is cheap enough."""
+    """The cheapest text that ``word`` may have been, and the way to it; the word itself and () if none is cheap enough.
+
+    The search goes on until nothing cheaper is left to expand. States dearer than the word itself are not followed: what
+    lies behind them is no repair of garbled text but chance.
+    """
     start = model.cost(word)
     best, best_cost, best_way = word, start, ()
-    heap, seen, expanded = [(start, 0.0, word, ())], {hash(word)}, 0
+    heap, seen = [(start, 0.0, word, ())], {word}
     letters = len(word.translate(DIGITS).strip(".,;:!?()\"'0-"))
-    while heap and expanded < p.expand:
+    while heap:
         now, paid, text, way = heapq.heappop(heap)
         if best_way and now > best_cost:
             break  # what is left is dearer than what was reached
-        expanded += 1
         if len(way) == p.steps:
             continue
         reached, tried = [], set()
@@ -139,9 +153,9 @@ def repair(word: str, model: Model, p: RepairParams = RepairParams()) -> tuple[s
                 tried.add(data)
                 reached += [((assumed, right), decode(data, right)) for right in RIGHT if right != assumed]
         for edge, to in reached:
-            if to is None or hash(to) in seen:
+            if to is None or to in seen:
                 continue
-            seen.add(hash(to))
+            seen.add(to)
             # any byte decodes in a one-byte encoding, so such a step proves less; of one letter it proves nothing
             toll = paid + (4.0 if edge[0] != "unescape" and edge[1] != "utf-8" else 1.0)
             cost = model.cost(to) + toll
@@ -201,13 +215,13 @@ class Repairer:
         """The number of garbled words in ``text``, and the text with what can be restored."""
         if not any(self.way(w.translate(DIGITS)) for w in odd_words(text)):
             return 0, text
-        found = list(ODD_WORD.finditer(text))
-        ways = [self.way(m.group().translate(DIGITS)) for m in found]
+        found = [m for m in ANY_WORD.finditer(text) if odd_words(m.group())]
+        ways = [self.way(plain(m.group()).translate(DIGITS)) for m in found]
         n = sum(map(bool, ways))
         out, at = [], 0
         for i, (m, way) in enumerate(zip(found, ways, strict=True)):
             word = m.group()
-            new = self._restored(word, way) if way else self._as_neighbours(word, ways, i)
+            new = self._restored(plain(word), way) if way else self._as_neighbours(word, ways, i)
             if new != word:
                 out += [text[at : m.start()], new]
                 at = m.end()
@@ -285,7 +299,7 @@ def restored(docs: DataFrame, p: RepairParams = RepairParams()) -> DataFrame:
     """``(id, n_garbled, restored)`` of every text of ``docs(id, text)`` with ``least_words`` garbled words or more.
 
     ``restored`` is the text with each garbled word taken back as far as possible: words that lost characters to
-    U+FFFD are looked up in the corpus. Null, empty and plain ASCII texts and rows of null id give no row; repeated rows
+    U+FFFD are looked up in the corpus. Garbled words may be written in entities. Null, empty and plain ASCII texts and rows of null id give no row; repeated rows
     stay rows; an empty table gives none.
     The ways of garbled words are broadcast if there are at most a million of them; else each task searches anew.
     """

@@ -41,6 +41,13 @@ def test_texts_come_back(spark):
     assert restored(corpus(spark, []).limit(0)).count() == 0
 
 
+def test_entities_of_garbled_characters(spark):
+    garbled = "der Pr&Atilde;&frac14;fstand und f&#195;&#188;nf Eintr&#xC3;&#xA4;ge am Tor"
+    rows = [(1000, garbled), (1001, "f&uuml;nf Eintr&auml;ge f&#252;r R&amp;D &lt;b&gt; &nosuch; & ; &;"), (1002, "one gem&Atilde;&curren;&Atilde;&#159; only")]
+    got = {r.id: (r.n_garbled, r.restored) for r in restored(corpus(spark, rows)).collect()}
+    assert got == {1000: (3, "der Prüfstand und fünf Einträge am Tor")}
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return corpus_model(odd_word_counts(corpus(spark, [])))
