@@ -73,10 +73,9 @@ def boundaries(vectors: np.ndarray, threshold: float, most: int) -> list[int]:
     if not len(vectors):
         return []
     starts = [0]
-    similar = vectors @ vectors.T
     for i in range(1, len(vectors)):
         pressure = 1 / (1 + np.exp(-((i - starts[-1]) - most) / 2))
-        if similar[i, starts[-1] : i].max() < threshold + (1 - threshold) * pressure:
+        if (vectors[starts[-1] : i] @ vectors[i]).max() < threshold + (1 - threshold) * pressure:
             starts.append(i)
     return starts
 
@@ -103,23 +102,26 @@ def split_large(groups: list[list[str]], count: Callable[[str], int], most: int
     return out
 
 
-def semantic_chunks(sections: DataFrame, embed: Callable[[list[str]], np.ndarray], threshold: float = 0.35, most: int = 15, count: Callable[[str], int] | None = None) -> DataFrame:
+def semantic_chunks(sections: DataFrame, embed: Callable[[list[str]], np.ndarray], threshold: float = 0.35, most: int = 15, count: Callable[[str], int] | None = None, calls: int = 128) -> DataFrame:
     """The columns of :func:`fixed_chunks`, with chunks that end where the topic changes.
 
-    ``embed`` gives unit vectors of sentences; fewer than three sentences are one chunk. Fenced code blocks are kept
-    whole: placeholders stand for them while sentences are cut.
+    ``embed`` gives unit vectors of sentences, ``calls`` of them at a time whatever sections they are from; fewer than
+    three sentences are one chunk. Fenced code blocks are kept whole: placeholders stand for them while sentences are cut.
     """
     count = count or word_count
     s = sections.where("text is not null").select("doc_id", "section_id", "section_order", t.code_blocks(F.col("text")).alias("blocks"), t.segment_sentences(t.without_code_blocks(F.col("text"))).alias("s"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, every = [], [x for s in batch.s if len(s) >= 3 for x in s]
+            vectors, at = [np.asarray(embed(every[a : a + calls])) for a in range(0, len(every), calls)], 0
+            vectors = np.concatenate(vectors) if vectors else None
             for r in batch.itertuples(index=False):
                 found = list(r.s)
                 groups = [found] if found else []
                 if len(found) >= 3:
-                    starts = [*boundaries(embed(found), threshold, most), len(found)]
+                    starts = [*boundaries(vectors[at : at + len(found)], threshold, most), len(found)]
+                    at += len(found)
                     groups = [found[a:b] for a, b in zip(starts, starts[1:], strict=False)]
                     groups = split_large(merged_small(groups, count), count)
                 rows += [(r.doc_id, r.section_id, r.section_order, i, " ".join(g), list(r.blocks)) for i, g in enumerate(groups)]
@@ -139,19 +141,22 @@ def word_count(text: str) -> int:
 def batches_by_size(rows: DataFrame, group: str, order: list[str], size: Column, limit: int = 80_000) -> DataFrame:
     """``rows`` with ``batch``: filled in order until the next row would take its batch above ``limit``.
 
-    A row above the limit is a batch of its own. Sums are folded over one array of numbers per group.
+    A row above the limit is a batch of its own; null sizes count as 0. Of each group only the order and the sizes are
+    gathered, for one pass over its numbers.
     """
-    sized = rows.withColumn("_size", size)
-    kept = F.struct(*[F.col(c) for c in order], F.col("_size").alias("_size"))
-    kind = "struct<sum:bigint,batch:int,out:array<int>>"
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("batch"), F.array().alias("out")).cast(kind)
-
-    def add(s: Column, x: Column) -> Column:
-        over = (s["sum"] > 0) & (s["sum"] + x["_size"] > limit)
-        batch = F.when(over, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(F.when(over, x["_size"].cast("bigint")).otherwise(s["sum"] + x["_size"]).alias("sum"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out")).cast(kind)
-
-    lists = sized.groupBy(group).agg(F.array_sort(F.collect_list(kept)).alias("_rows"))
-    lists = lists.withColumn("_batch", F.aggregate("_rows", zero, add, lambda s: s["out"]))
-    flat = lists.select(group, F.explode(F.arrays_zip("_rows", "_batch")).alias("x")).select(group, *[F.col(f"x._rows.{c}").alias(c) for c in order], F.col("x._batch").alias("batch"))
-    return sized.drop("_size").join(flat, [group, *order])
+    sized = rows.withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
+
+    def fill(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order, na_position="first").reset_index(drop=True)
+        batches, held, n = [], 0, 0
+        for x in own["_size"].tolist():
+            if held and held + x > limit:
+                n, held = n + 1, 0
+            held += x
+            batches.append(n)
+        return own.assign(batch=batches).drop(columns="_size")
+
+    narrow = sized.select(group, *order, "_size")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_size") + ", batch int"
+    filled = narrow.groupBy(group).applyInPandas(fill, ddl)
+    return sized.drop("_size").join(filled, [group, *order])

@@ -60,15 +60,24 @@ def extract(text: str) -> dict | None:
 
 
 def extracted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, json, broken)``: the object in ``text`` as canonical JSON, null if there is none; ``broken`` if a brace opens one."""
+    """``(key, json, broken)``: the object in ``text`` as JSON with sorted keys, null if there is none; ``broken`` if a brace opens one.
+
+    What is JSON as it stands is parsed by Spark; only the rest goes through :func:`extract`. Null texts give no row.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [extract(x) for x in batch[text]]
-            yield pd.DataFrame({key: batch[key], "json": [None if f is None else json.dumps(f, sort_keys=True, ensure_ascii=False) for f in found], "broken": [f is None and "{" in x for f, x in zip(found, batch[text], strict=True)]})
+            yield pd.DataFrame({key: batch[key], "json": [None if f is None else json.dumps(f, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for f in found], "broken": [f is None and "{" in x for f, x in zip(found, batch[text], strict=True)]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(each, f"{key} {kind}, json string, broken boolean")
+    rows = rows.where(F.col(text).isNotNull()).select(key, text, F.try_parse_json(text).alias("_v"))
+    whole = F.ltrim(text).startswith("{") & F.col("_v").isNotNull()
+    good = rows.where(whole).select(key, F.to_json("_v").alias("json"), F.lit(False).alias("broken"))
+    # without a brace there is nothing to find
+    none = rows.where(~whole & ~F.contains(text, F.lit("{"))).select(key, F.lit(None).cast("string").alias("json"), F.lit(False).alias("broken"))
+    rest = rows.where(~whole & F.contains(text, F.lit("{"))).select(key, text).mapInPandas(each, f"{key} {kind}, json string, broken boolean")
+    return good.unionByName(none).unionByName(rest)
 
 
 def complete(objects: list, required: set[str]) -> list:

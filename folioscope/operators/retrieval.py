@@ -126,8 +126,9 @@ def with_context(hits: DataFrame, chunks: DataFrame, window: int = 1, first: int
     c = chunks.select("doc_id", F.col("chunk_order").alias("o"), "chunk_text", F.col("section_id").alias("s"))
     near = hits.where("chunk_order is not null").select(*key, "doc_id", F.explode(F.sequence(F.col("chunk_order") - window, F.col("chunk_order") + window)).alias("o")).join(c, ["doc_id", "o"])
     rank = Window.partitionBy("doc_id").orderBy("o")
-    start = c.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= first)
-    top = hits.where("chunk_order is null and record_type = 'document_summary'").select(*key, "doc_id").join(start, "doc_id")
+    top = hits.where("chunk_order is null and record_type = 'document_summary'").select(*key, "doc_id")
+    start = c.join(top.select("doc_id").distinct(), "doc_id", "left_semi")  # only documents that were hit are ranked
+    top = top.join(start.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= first), "doc_id")
     part = hits.where("chunk_order is null and record_type = 'section_summary'").select(*key, F.col("section_id").alias("s")).join(c, "s")
     rows = near.select(*key, "o", "chunk_text").unionByName(top.select(*key, "o", "chunk_text")).unionByName(part.select(*key, "o", "chunk_text"))
     texts = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "chunk_text"))).alias("x")).select(*key, t.merge_overlapping(F.transform("x", lambda s: s["chunk_text"])).alias("around"))

@@ -146,10 +146,10 @@ def cleaned_details(spark: SparkSession, sf: str) -> DataFrame:
     return src.processing_log(spark, sf).where("details is not null").select("log_id", t.clean_output(raw).alias("cleaned"))
 
 
-@query("f17_details_as_json", f"SELECT log_id, CASE WHEN details LIKE '{{%' THEN coalesce(try_cast(details AS JSON), try_cast('{{}}' AS JSON))::VARCHAR END AS json FROM {LOG} WHERE details IS NOT NULL AND NOT (details LIKE '{{%' AND NOT json_valid(details)) AND (details NOT LIKE '{{%')")
+@query("f17_details_as_json", f"SELECT log_id, json_valid(details) AND details LIKE '{{%' AS found, CASE WHEN json_valid(details) THEN json_extract_string(details, '$.outcome') END AS outcome, CASE WHEN json_valid(details) THEN CAST(json_extract(details, '$.retry') AS INTEGER) END AS retry FROM {LOG} WHERE details IS NOT NULL")
 def details_as_json(spark: SparkSession, sf: str) -> DataFrame:
     found = jsontools.extracted(src.processing_log(spark, sf).where("details is not null"), "log_id", "details")
-    return found.where("json is null and not broken").select("log_id", "json")
+    return found.select("log_id", F.col("json").isNotNull().alias("found"), F.get_json_object("json", "$.outcome").alias("outcome"), F.get_json_object("json", "$.retry").cast("int").alias("retry"))
 
 
 @query("f17_extracted_outcomes")
@@ -244,11 +244,11 @@ def chunk_orders(spark: SparkSession, sf: str) -> DataFrame:
 @query("w9_prompt_batches", f"""
 WITH RECURSIVE o AS (SELECT doc_id, section_order, section_id, least(length(text), 5000) + length(coalesce(heading, 'Untitled section')) + 50 AS size, row_number() OVER (PARTITION BY doc_id ORDER BY section_order, section_id) AS i FROM {SECTIONS}),
 r AS (SELECT *, 0 AS batch, size AS total FROM o WHERE i = 1 UNION ALL
-  SELECT o.*, CASE WHEN r.total + o.size > 4000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.total + o.size > 4000 THEN o.size ELSE r.total + o.size END FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
+  SELECT o.*, CASE WHEN r.total + o.size > 80000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.total + o.size > 80000 THEN o.size ELSE r.total + o.size END FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
 SELECT section_id, batch FROM r""")
 def prompt_batches(spark: SparkSession, sf: str) -> DataFrame:
     size = F.least(F.length("text"), F.lit(t.MAX_EXCERPT)) + F.length(F.coalesce("heading", F.lit("Untitled section"))) + 50
-    return chunking.batches_by_size(src.sections(spark, sf), "doc_id", ["section_order", "section_id"], size, 4000).select("section_id", "batch")
+    return chunking.batches_by_size(src.sections(spark, sf), "doc_id", ["section_order", "section_id"], size).select("section_id", "batch")
 
 
 @query("i16_summary_points", f"""

@@ -1,11 +1,14 @@
 """Cutting lineage and checking sizes, safely on a cluster.
 
-Everything written here goes to the shared folder that the cluster names in
-``spark.checkpoint.dir``; a private folder is made only where that is unset (tests, one machine).
+Everything written here goes to the shared folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset,
+one machine gets a private folder, which is removed at the end; a cluster gets an error, since tasks would write to their
+own disks.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +19,17 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a temporary one for this session."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else on one machine a temporary one for this session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        made = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _FALLBACK[app] = f"file://{made}"
     return _FALLBACK[app]
 
 

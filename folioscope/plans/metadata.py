@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.operators import status, store
-from folioscope.plans.registry import CHUNKS, LOG, SECTIONS, SYNC, Registry
+from folioscope.plans.registry import CHUNKS, ISO, LOG, SECTIONS, SYNC, Registry
 from folioscope.sources import tables as src
 
 query = Registry()
@@ -205,10 +205,10 @@ def migrated_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("prj1_search_filter", """
 SELECT DISTINCT p.point_id, p.doc_id FROM vector_points p JOIN documents d USING (doc_id)
-WHERE p.folder_path = '/corpus/inbox/unsorted' AND p.record_type = 'chunk' AND d.file_type = 'md' AND d.ingest_batch >= 3""")
+WHERE p.folder_path = '/corpus/inbox/unsorted' AND p.record_type = 'chunk' AND d.file_type = 'md' AND """ + ISO.format(c="d.modified_at") + " >= TIMESTAMPTZ '2019-12-01 00:00:00+00'")
 def search_filter(spark: SparkSession, sf: str) -> DataFrame:
     points = src.read(spark, sf, "vector_points").where("folder_path = '/corpus/inbox/unsorted' and record_type = 'chunk'").select("point_id", "doc_id")
-    return points.join(src.documents(spark, sf).where("file_type = 'md' and ingest_batch >= 3").select("doc_id"), "doc_id", "left_semi").distinct()
+    return points.join(src.documents(spark, sf).where((F.col("file_type") == "md") & (t.iso_time(F.col("modified_at")) >= t.iso_time(F.lit("2019-12-01")))).select("doc_id"), "doc_id", "left_semi").distinct()
 
 
 @query("prj1_subtree_filter", f"SELECT file_path FROM {SYNC} WHERE list_contains(folder_ancestors, '/corpus/finance')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.store import Table
@@ -49,10 +49,18 @@ def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     return watch.windowed_counts(_events(src.read(spark, sf, "events")), "10 minutes").select(F.unix_micros("started").alias("started_us"), "kind", "events")
 
 
-@query("t4_vanished_after_known", f"{_BURSTS} SELECT path, started_us FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY started_us) AS k FROM b) WHERE last_kind = 'error' AND k > 1")
+@query("t4_vanished_after_known", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events),
+o AS (SELECT *, lag(kind) OVER (PARTITION BY path ORDER BY ts, kind) AS before FROM e)
+SELECT path, count(*) FILTER (kind = 'deleted' AND before = 'modified') AS deletions, count(*) FILTER (kind = 'modified') AS others FROM o WHERE kind = 'modified' OR before = 'modified' GROUP BY path""")
 def vanished_after_known(spark: SparkSession, sf: str) -> DataFrame:
-    bursts = _shown(watch.debounced(_events(src.read(spark, sf, "events")), "2 hours"))
-    return bursts.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("started_us"))).where("last_kind = 'error' and k > 1").select("path", "started_us")
+    """The feed as a stream: errors stand for deletions, of which only those of known paths go on."""
+    feed = spark.readStream.schema(src.read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = _events(feed).withColumn("kind", F.when(F.col("kind") == "error", "deleted").otherwise("modified"))
+    at = f"{shared_dir(spark)}/known-{uuid.uuid4().hex}"
+    watch.run_once(watch.known_deletions(events), f"{at}/checkpoint", watch.append_sink(f"{at}/rows"), mode="append")
+    seen = spark.read.schema("path string, kind string").parquet(f"{at}/rows")
+    return seen.groupBy("path").agg(F.count_if(F.col("kind") == "deleted").alias("deletions"), F.count_if(F.col("kind") == "modified").alias("others"))
 
 
 @query("t7_retries_due", f"""

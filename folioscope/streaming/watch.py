@@ -42,19 +42,20 @@ def windowed_counts(events: DataFrame, size: str, late: str | None = None) -> Da
 
 
 def known_deletions(events: DataFrame) -> DataFrame:
-    """``(path, kind)`` of a stream ``events(path, ts, kind)``: a deletion goes on only if its path was seen before and not deleted since."""
+    """``(path, kind)`` of a stream ``events(path, ts, kind)``: a deletion goes on only if its path was seen before and not deleted since.
 
-    def each(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else False
-        out = []
-        rows = pd.concat(list(batches))
-        for kind in rows.sort_values("ts").kind:
-            if kind != "deleted" or known:
-                out.append(kind)
-            known = kind != "deleted"
-        state.update((known,))
-        yield pd.DataFrame({"path": [key[0]] * len(out), "kind": out})
+    Events of one time are taken in the order of their kinds; a null path, time or kind counts for nothing.
+    """
 
+    def each(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kinds = pd.concat(list(batches)).sort_values(["ts", "kind"]).kind
+        there = kinds != "deleted"
+        before = there.shift(fill_value=state.get[0] if state.exists else False)
+        state.update((bool(there.iloc[-1]),))
+        kept = kinds[there | before]
+        yield pd.DataFrame({"path": [key[0]] * len(kept), "kind": kept.tolist()})
+
+    events = events.where("path is not null and ts is not null and kind is not null")
     return events.select("path", "ts", "kind").groupBy("path").applyInPandasWithState(each, "path string, kind string", "known boolean", "append", "NoTimeout")
 
 
@@ -72,6 +73,15 @@ def upsert_sink(table: Table, prepare: Callable[[DataFrame], DataFrame] | None =
     return write
 
 
+def append_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each batch to a folder of its own: a batch that comes twice replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def replace_sink(table: Table) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for complete mode: each batch is the whole result and becomes the table.
 
