@@ -21,9 +21,11 @@ EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 PROFILE = 8
 ENTRY = {
     "kind": "string", "part": "int", "batch": "int",
-    "id": "bigint", "n": "int", "profile": "array<bigint>", "set": "array<int>",
-    "ids": "array<bigint>", "sizes": "array<int>", "token": "array<int>", "doc": "array<int>", "pos": "array<int>",
+    "id": "bigint", "n": "int", "profile": "array<bigint>", "set": "binary",
+    "ids": "binary", "sizes": "binary", "token": "binary", "doc": "binary", "pos": "binary",
 }
+#: How the numbers of a block are packed.
+PACKED = {"ids": np.int64, "sizes": np.int32, "token": np.uint32, "doc": np.uint16, "pos": np.int32}
 ENTRY_DDL = ", ".join(f"{c} {t}" for c, t in ENTRY.items())
 
 
@@ -35,13 +37,16 @@ def clean_hash(column: str):
 
 def _rows(columns: dict, n: int) -> pa.RecordBatch:
     """A batch of the entry table; columns that are not given are null."""
-    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     arrays = [columns[c].cast(arrow[t]) if c in columns else pa.nulls(n, arrow[t]) for c, t in ENTRY.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(ENTRY))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.ascontiguousarray(values)))
+def _packed(values: np.ndarray, sizes: np.ndarray, kind: type) -> pa.Array:
+    """Runs of ``sizes`` values as bytes."""
+    values = np.ascontiguousarray(values, kind)
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
 
 
 def entries(texts: DataFrame, levels, p: JoinParams, number: int, buckets: int) -> DataFrame:
@@ -72,7 +77,7 @@ def entries(texts: DataFrame, levels, p: JoinParams, number: int, buckets: int)
                 profile = sketches(of, s, b - a)[has]
                 yield _rows({
                     "kind": pa.array(["doc"] * len(has)), "part": pa.array(own[has] % buckets), "batch": pa.array(np.full(len(has), number)), "id": pa.array(own[has]), "n": pa.array(n[has]),
-                    "profile": _lists(profile.ravel(), np.full(len(has), PROFILE)), "set": _lists((s >> np.uint64(32)).astype(np.uint32).view(np.int32), n[has]),
+                    "profile": pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * PROFILE), pa.array(profile.ravel())), "set": _packed(s >> np.uint64(32), n[has], np.uint32),
                 }, len(has))
                 token, doc, pos = prefixes(of, s, n, levels.value, p)
                 part = (token % np.uint64(buckets)).astype(np.int64)
@@ -90,8 +95,7 @@ def entries(texts: DataFrame, levels, p: JoinParams, number: int, buckets: int)
                     there, count = np.concatenate(docs), np.diff(cuts)
                     yield _rows({
                         "kind": pa.array(["list"] * len(sizes)), "part": pa.array(part[cuts[:-1]]), "batch": pa.array(np.full(len(sizes), number)),
-                        "ids": _lists(own[there], sizes), "sizes": _lists(n[there].astype(np.int32), sizes),
-                        "token": _lists(token.view(np.int32), count), "doc": _lists(np.concatenate(local).astype(np.int32), count), "pos": _lists(pos.astype(np.int32), count),
+                        **{c: _packed(x, k, PACKED[c]) for c, x, k in (("ids", own[there], sizes), ("sizes", n[there], sizes), ("token", token, count), ("doc", np.concatenate(local), count), ("pos", pos, count))},
                     }, len(sizes))
 
     return texts.select("id", "text").mapInArrow(make, ENTRY_DDL)
@@ -101,19 +105,23 @@ class _Block:
     """Postings of one bucket, ordered by token."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, token: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-        self.token, self.id, self.n, self.pos = token.view(np.uint32), ids[doc], sizes[doc].astype(np.int64), pos.astype(np.int64)
+        self.ids, self.sizes, self.token, self.doc, self.pos = ids, sizes, token, doc, pos
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int) -> _Block:
-        return cls(*(batch.column(c)[i].values.to_numpy() for c in ("ids", "sizes", "token", "doc", "pos")))
+        return cls(*(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in PACKED.items()))
 
     @classmethod
     def joined(cls, blocks: list[_Block]) -> _Block:
-        out = cls.__new__(cls)
         order = np.argsort(np.concatenate([b.token for b in blocks]), kind="stable")
-        for c in ("token", "id", "n", "pos"):
-            setattr(out, c, np.concatenate([getattr(b, c) for b in blocks])[order])
-        return out
+        start = np.cumsum([0, *(len(b.ids) for b in blocks)])
+        doc = np.concatenate([b.doc.astype(np.int32) + k for b, k in zip(blocks, start, strict=False)])
+        ids, sizes, token, pos = (np.concatenate([getattr(b, c) for b in blocks]) for c in ("ids", "sizes", "token", "pos"))
+        return cls(ids, sizes, token[order], doc[order], pos[order])
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(id, n, pos)`` of some postings."""
+        return self.ids[self.doc[at]], self.sizes[self.doc[at]].astype(np.int64), self.pos[at]
 
 
 def _meet(old: _Block, new: _Block, p: JoinParams, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +143,9 @@ def _meet(old: _Block, new: _Block, p: JoinParams, same: bool) -> tuple[np.ndarr
         each = [np.arange(lo[x], hi[x]) for x in heads]
         i = np.concatenate([i, at, at, *(np.full(len(e), x) for e, x in zip(each, heads, strict=True))])
         j = np.concatenate([j, lo[at], lo[at] + (mine - np.searchsorted(at, starts[at]) + same) % (hi - lo)[at], *each])
-    ok = can_reach(new.n[j], new.pos[j], old.n[i], old.pos[i], p.threshold)
-    a, b = new.id[j[ok]], old.id[i[ok]]
+    (a, na, pa_), (b, nb, pb) = new.rows(j), old.rows(i)
+    ok = can_reach(na, pa_, nb, pb, p.threshold)
+    a, b = a[ok], b[ok]
     if same:
         a, b = np.maximum(a, b), np.minimum(a, b)
     pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
@@ -154,7 +163,7 @@ class HistoryIndex:
     :meth:`start`; it decides speed only, and :meth:`reordered` makes a new index when the history has outgrown it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 8, most: int = 4_000_000):
+    def __init__(self, spark: SparkSession, path: str, p: JoinParams = NEAR, buckets: int = 8, most: int = 1_000_000):
         self.spark, self.path, self.p, self.buckets, self.most = spark, path, p, buckets, most
         self._levels, self._number = None, None
 
@@ -172,7 +181,7 @@ class HistoryIndex:
                 old.write.partitionBy("role").parquet(f"{path}/{table}")
         new._number, posted = self._number, self._read("doc").select("id", "batch")
         for (number,) in sorted(posted.select("batch").distinct().collect()):  # a row for each batch
-            entries(texts.join(posted.where(F.col("batch") == number), "id", "left_semi"), new.levels, self.p, number, self.buckets).write.mode("append").partitionBy("kind", "part").parquet(f"{path}/entries")
+            entries(texts.join(posted.where(F.col("batch") == number), "id", "left_semi"), new.levels, self.p, number, self.buckets).write.mode("append").option("compression", "zstd").partitionBy("kind", "part").parquet(f"{path}/entries")
         return new
 
     @property
@@ -221,10 +230,10 @@ class HistoryIndex:
         copies = self.links(number).where("kind = 'text'").select(F.col("a").alias("id")).distinct()
         texts = batch.select("id", "text").where(enough_words(self.p)).join(broadcast_if_small(copies), "id", "left_anti")
         seen = Observation()
-        sizes = (F.sum(F.when(F.col("part") == i, F.size("token"))).alias(str(i)) for i in range(self.buckets))
+        sizes = (F.sum(F.when(F.col("part") == i, F.octet_length("token"))).alias(str(i)) for i in range(self.buckets))
         made = entries(texts, self.levels, self.p, number, self.buckets).observe(seen, *sizes)
-        made.write.mode("append").partitionBy("kind", "part").parquet(f"{self.path}/entries")
-        sizes = {int(part): n for part, n in seen.get.items() if (n or 0) > 0}
+        made.write.mode("append").option("compression", "zstd").partitionBy("kind", "part").parquet(f"{self.path}/entries")
+        sizes = {int(part): n // 4 for part, n in seen.get.items() if n}
         if not sizes:
             return number
         pairs = self._pairs(number, sizes)
@@ -240,12 +249,12 @@ class HistoryIndex:
         """Give each hash of the batch its first owner, in the history or the batch; other documents of the hash link to it."""
         words = {"text": F.when(enough_words(self.p), clean_text("text"))} | {c: F.col(c) for c in ("raw", "norm") if c in batch.columns}
         hashes = [F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("key"), F.xxhash64(F.length(x), x).alias("check"))) for kind, x in words.items()]
-        own = batch.select("id", F.explode(F.array_compact(F.array(*hashes))).alias("h")).select("id", "h.*")
+        own = batch.select("id", F.explode(F.array_compact(F.array(*hashes))).alias("h")).select("id", "h.*")  # a repeated row repeats its links, which changes no group
         first, names = own.groupBy("kind", "key", "check").agg(F.min("id").alias("first")), ["kind", "key", "check"]
         known = self._table("keys")
         first = first.withColumn("known", F.lit(None).cast("bigint")) if known is None else first.join(known.where("role = 'own'").select(*names, F.col("owner").alias("known")), names, "left")
         placed = own.join(first, names).select("kind", "key", "check", "id", F.coalesce("known", "first").alias("owner"), F.lit(number).alias("batch"), F.when(F.col("known").isNull() & (F.col("id") == F.col("first")), "own").otherwise("copy").alias("role"))
-        placed.where("role = 'own' or id <> owner").dropDuplicates(["kind", "key", "check", "id"]).write.mode("append").partitionBy("role").parquet(f"{self.path}/keys")
+        placed.where("role = 'own' or id <> owner").write.mode("append").partitionBy("role").parquet(f"{self.path}/keys")
 
     def _pairs(self, number: int, sizes: dict[int, int]) -> DataFrame:
         """``(a, b, hot)``: candidates of the batch, of ``sizes`` postings in each bucket; of a hot list its token instead."""
@@ -253,7 +262,7 @@ class HistoryIndex:
         for parts in slices(sizes, self.most):
             there = lists.where(F.col("part").isin(parts))
             fresh: dict[int, list] = {}
-            for block in there.where(F.col("batch") == number).select("part", "ids", "sizes", "token", "doc", "pos").toArrow().to_batches():  # most postings at most, or one bucket
+            for block in there.where(F.col("batch") == number).select("part", *PACKED).toArrow().to_batches():  # most postings at most, or one bucket
                 for i, part in enumerate(block.column(0).to_pylist()):
                     fresh.setdefault(part, []).append(_Block.of(block, i))
             sent = self.spark.sparkContext.broadcast({part: _Block.joined(blocks) for part, blocks in fresh.items()})
@@ -272,7 +281,7 @@ class HistoryIndex:
                     none = pa.nulls(len(hot), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), none]), pa.concat_arrays([pa.array(b, pa.int64()), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(hot.astype(np.int64) | (part << 32), pa.int64())])], names=["a", "b", "hot"])
 
-        return lists.select("part", "batch", "ids", "sizes", "token", "doc", "pos").mapInArrow(probe, "a bigint, b bigint, hot bigint")
+        return lists.select("part", "batch", *PACKED).mapInArrow(probe, "a bigint, b bigint, hot bigint")
 
     def _verified(self, pairs: DataFrame, number: int) -> DataFrame:
         """The link rows of the pairs (new, old) that have the threshold's similarity.
@@ -290,8 +299,17 @@ class HistoryIndex:
         near = F.broadcast(near) if told.n <= 1_000_000 else near
         left = new.select(F.col("id").alias("a"), F.col("set").alias("xa")).join(near.select("a").distinct(), "a", "left_semi")
         both = docs.where(F.col("part").isin(told.parts)).select(F.col("id").alias("b"), F.col("set").alias("xb")).join(near, "b").join(left, "a")
-        both = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("shared"), (F.size("xa") + F.size("xb")).alias("total"))
-        links = both.where(F.col("shared") >= t * (F.col("total") - F.col("shared")) - 1e-9)
+
+        def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                    shared = len(np.intersect1d(x, y))
+                    keep.append(shared >= t * (len(x) + len(y) - shared) - 1e-9)
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        links = both.select("a", "b", "xa", "xb").mapInArrow(similar, "a bigint, b bigint")
         none = F.lit(None).cast("bigint")
         return links.select(F.lit("near").alias("kind"), none.alias("key"), none.alias("check"), F.col("a").alias("id"), F.col("b").alias("owner"), F.lit(number).alias("batch"), F.lit("copy").alias("role")).distinct()
 
@@ -299,9 +317,16 @@ class HistoryIndex:
         """Candidates of hot lists between documents that no links connect yet, one of them new."""
         tokens = materialize(hot.select(F.col("hot").alias("token")).distinct(), "tokens")
         parts = [r.p for r in tokens.select(F.shiftright("token", 32).cast("int").alias("p")).distinct().collect()]  # buckets rows at most
-        rows = self._read("list").where(F.col("part").isin(parts)).select("part", "batch", "ids", "sizes", F.explode(F.arrays_zip("token", "doc", "pos")).alias("x"))
-        token = F.shiftleft(F.col("part").cast("bigint"), 32).bitwiseOR(F.col("x.token").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-        rows = rows.select(token.alias("token"), (F.col("batch") == number).alias("fresh"), F.get("ids", F.col("x.doc")).alias("id"), F.get("sizes", F.col("x.doc")).alias("n"), "x.pos")
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, (part, of) in enumerate(zip(batch.column("part").to_pylist(), batch.column("batch").to_pylist(), strict=True)):
+                    block = _Block.of(batch, i)
+                    ids, n, pos = block.rows(np.arange(len(block.token)))
+                    yield pa.RecordBatch.from_arrays([pa.array(block.token.astype(np.int64) | (part << 32)), pa.array(np.full(len(ids), of == number)), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(pos)], names=["token", "fresh", "id", "n", "pos"])
+
+        blocks = self._read("list").where(F.col("part").isin(parts)).select("part", "batch", *PACKED)
+        rows = blocks.mapInArrow(unpack, "token bigint, fresh boolean, id bigint, n int, pos int")
         rows = rows.join(broadcast_if_small(tokens), "token", "left_semi")
         pairs = hot_pairs(rows, connected_components(self.links(), "a", "b"), self.p)
         return pairs.join(broadcast_if_small(self._read("doc").where(F.col("batch") == number).select(F.col("id").alias("new"))), (F.col("a") == F.col("new")) | (F.col("b") == F.col("new"))).select(

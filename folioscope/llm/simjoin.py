@@ -55,7 +55,7 @@ def enough_words(p: JoinParams):
 
 def clean_text(column: str):
     """Texts are copies if they differ in NULs and runs of white space alone."""
-    return F.trim(F.regexp_replace(F.regexp_replace(column, "\\x00", ""), "[ \\t\\r\\n\\f]+", " "))
+    return F.trim(F.regexp_replace(F.translate(column, "\0", ""), "[ \\t\\r\\n\\f]+", " "))
 
 
 def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
