@@ -58,6 +58,13 @@ def may_retry(state: DataFrame, now: Column, time: Column) -> DataFrame:
     return state.where((F.col("process_status") != "poison") & ~F.coalesce(held, F.lit(False)))
 
 
+def held_back(state: DataFrame, now: Column, time: Column) -> DataFrame:
+    """``(file_path, again)`` of the files that failed: ``again`` for those whose wait is over, which are tried though unchanged."""
+    free = may_retry(state, now, time).select("file_path", F.lit(True).alias("again"))
+    failed = state.where("not is_deleted and process_status in ('error', 'poison')").select("file_path")
+    return failed.join(free, "file_path", "left").select("file_path", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 def ensured(state: DataFrame, paths: DataFrame) -> DataFrame:
     """``state`` with a pending row for each of ``paths(file_path)`` that has none."""
     new = paths.select("file_path").distinct().join(state.select("file_path"), "file_path", "left_anti")

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as t
 from folioscope.operators.sync import ignored
+from folioscope.plans.materialize import broadcast_if_small
+
+
+def _files(spark: SparkSession, places: list[str], patterns: list[str]) -> DataFrame:
+    """Supported files below or at ``places`` with their ``content``, which is read only where it is used."""
+    there = [p for p in places if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "file_path string, folder_path string, file_type string, size_bytes bigint, modified_at timestamp, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(there)
+    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    rows = rows.withColumns({"file_type": t.file_type(F.col("file_path")), "folder_path": F.regexp_replace("file_path", "/[^/]*$", "")})
+    return rows.where(F.col("file_type").isNotNull() & ~ignored(F.col("file_path"), patterns)).select("file_path", "folder_path", "file_type", "size_bytes", "modified_at", "content")
 
 
 def listing(spark: SparkSession, folders: list[str], patterns: list[str] | None = None) -> DataFrame:
@@ -17,14 +30,7 @@ def listing(spark: SparkSession, folders: list[str], patterns: list[str] | None
 
     Folders that do not exist are passed over.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-    there = [f for f in folders if _exists(spark, f)]
-    if not there:
-        return spark.createDataFrame([], "file_path string, folder_path string, file_type string, size_bytes bigint, modified_at timestamp")
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = files.load(there).select(path.alias("file_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    rows = rows.withColumns({"file_type": t.file_type(F.col("file_path")), "folder_path": F.regexp_replace("file_path", "/[^/]*$", "")})
-    return rows.where(F.col("file_type").isNotNull() & ~ignored(F.col("file_path"), patterns or [])).select("file_path", "folder_path", "file_type", "size_bytes", "modified_at")
+    return _files(spark, folders, patterns or []).drop("content")
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:
@@ -32,14 +38,21 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def scan(spark: SparkSession, folders: list[str], patterns: list[str] | None = None) -> DataFrame:
-    """:func:`listing` with ``content`` and ``content_hash``, every file as a created event."""
-    rows = listing(spark, folders, patterns)
-    there = [f for f in folders if _exists(spark, f)]
-    if not there:
-        return rows.withColumns({"content": F.lit(None).cast("binary"), "content_hash": F.lit(None).cast("string"), "event_type": F.lit("created")})
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), "content")
-    return rows.join(content, "file_path").withColumns({"content_hash": F.sha2("content", 256), "event_type": F.lit("created")})
+def scan(spark: SparkSession, folders: list[str], patterns: list[str] | None = None, only: DataFrame | None = None, few: int = 10_000) -> DataFrame:
+    """:func:`listing` with ``content`` and ``content_hash``, every file as a created event.
+
+    With ``only(file_path)`` just these files: if they are ``few`` at most, they alone are listed and read; of more, all
+    files are gone through. Contents come from the scan that lists them and are not shuffled.
+    """
+    if only is None:
+        rows = _files(spark, folders, patterns or [])
+    else:
+        wanted = only.select("file_path").limit(few + 1).collect()
+        if len(wanted) <= few:
+            rows = _files(spark, [r.file_path for r in wanted], patterns or [])
+        else:
+            rows = _files(spark, folders, patterns or []).join(broadcast_if_small(only.select("file_path")), "file_path", "left_semi")
+    return rows.withColumns({"content_hash": F.sha2("content", 256), "event_type": F.lit("created")})
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -88,17 +101,26 @@ def items_to_sections(items: DataFrame) -> DataFrame:
     return rows.select("doc_id", order.alias("section_order"), "heading", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("text"), "page_start", "page_end")
 
 
-def parsed(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], kinds: list[str]) -> DataFrame:
-    """``(file_path, n, label, text, page)`` from a plugged-in parser for files of the types ``kinds``; a failure gives a row of label ``error``."""
+def parsed(files: DataFrame, parse: Callable[[str, bytes], list[tuple]], kinds: list[str], seconds: Column | None = None) -> DataFrame:
+    """``(file_path, n, label, text, page)`` from a plugged-in parser for files of the types ``kinds``.
+
+    A failure gives a row of label ``error``, and so does a file that takes longer than ``seconds``, by default
+    :func:`functions.text.parse_timeout` of its size; its thread is left behind.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch.file_path, batch.content, strict=True):
+            for path, content, limit in zip(batch.file_path, batch.content, batch.seconds, strict=True):
+                pool = ThreadPoolExecutor(1)
                 try:
-                    rows += [(path, n, *item) for n, item in enumerate(parse(path, content))]
+                    rows += [(path, n, *item) for n, item in enumerate(pool.submit(lambda p=path, c=content: list(parse(p, c))).result(float(limit)))]
+                except TimeoutError:
+                    rows.append((path, 0, "error", f"parsing took more than {limit:g} seconds", None))
                 except Exception as e:  # noqa: BLE001  a parser may fail in any way
                     rows.append((path, 0, "error", str(e), None))
+                pool.shutdown(wait=False, cancel_futures=True)
             yield pd.DataFrame(rows, columns=["file_path", "n", "label", "text", "page"]).astype({"page": "Int32"})
 
-    return files.where(F.col("file_type").isin(*kinds)).select("file_path", "content").mapInPandas(each, "file_path string, n int, label string, text string, page int")
+    limit = t.parse_timeout(F.col("size_bytes")) if seconds is None else seconds
+    return files.where(F.col("file_type").isin(*kinds)).select("file_path", "content", limit.cast("double").alias("seconds")).mapInPandas(each, "file_path string, n int, label string, text string, page int")

@@ -62,6 +62,60 @@ def test_semantic_chunks_and_a_parser(spark, tmp_path):
     assert engine.search(["sentence"], "2030-01-01 00:00:00").head().label.startswith("x.pdf")
 
 
+def test_hints_failures_plugins_and_lookups(spark, tmp_path):
+    base = tmp_path / "in"
+    for name in ("alpha", "beta"):
+        (base / name).mkdir(parents=True)
+        (base / name / "notes.txt").write_text(f"The quarterly revenue of {name} grew. Costs were flat in {name}.")
+    (base / "bad.txt").write_text(" ")
+    summarize = lambda texts: [None if "beta" in x else "a summary about zebras" for x in texts]
+    ask = lambda texts: [["Who feeds the okapi?"] for _ in texts]
+    plugins = Plugins(summarizer=summarize, questioner=ask, hypothetical=lambda qs: [None for _ in qs])
+    engine = Engine(spark, Config(str(tmp_path / "s"), Folders((str(base),))), plugins)
+    assert engine.index() == {"index": 2, "deleted": 0, "error": 1}
+    now = "2030-01-01 00:00:00"
+    points = engine.read("points")
+    assert points.where("record_type = 'document_summary' and text = 'a summary about zebras'").count() == 1
+    assert points.where("record_type = 'chunk' and questions[0] = 'Who feeds the okapi?'").count() == points.where("record_type = 'chunk'").count()
+    found = engine.search(["find revenue in folder /beta", "okapi"], now)
+    assert {r.file_path.split("/")[-2] for r in found.where("query like '%beta'").collect()} == {"beta"}
+    assert found.where("query = 'okapi' and record_type = 'chunk'").count() == 2
+    assert engine.search(["revenue in folder /nowhere"], now).count() > 0
+    assert engine.search(["revenue"], now, since="2999-01-01").count() == 0 and engine.search(["revenue"], now, since="2000-01-01").count() > 0
+    assert engine.quick_search(["revenue"], now, folder=str(base / "alpha")).select("title").collect() == [("notes",)]
+    assert engine.recent(1).count() == 1 and engine.recent(9).count() == 2
+    (chunk,) = engine.read("chunks").where("chunk_text like '%alpha%'").collect()
+    assert [r.chunk_id for r in engine.context(chunk.chunk_id).collect()] == [chunk.chunk_id]
+    # the failed file waits; when it is tried, its tries are counted until it is given up
+    assert engine.changes().count() == 0
+    for tries in (2, 3):
+        engine.index([str(base / "bad.txt")])
+        bad = engine.read("state").where("file_path like '%bad.txt'").head()
+        assert (bad.retry_count, bad.process_status) == (tries, "poison" if tries == 3 else "error")
+    (base / "beta" / "more.txt").write_text("One more text.")
+    engine.watch(f"file://{tmp_path}/checkpoint", until_now=True)
+    assert engine.read("documents").where("file_path like '%more.txt'").count() == 1
+    assert engine.index([str(base / "beta" / "more.txt"), str(base / "missing.txt")])["index"] == 1
+
+
+def test_a_parser_that_takes_too_long(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from folioscope.sources import files
+
+    for n in ("slow.pdf", "quick.pdf"):
+        (tmp_path / n).write_bytes(b"x")
+
+    def parse(path, data):
+        import time
+
+        time.sleep(5 if "slow" in path else 0)
+        return [("text", "found", 1)]
+
+    got = files.parsed(files.scan(spark, [str(tmp_path)]), parse, ["pdf"], F.lit(1))
+    assert {(r.file_path.split("/")[-1], r.label) for r in got.collect()} == {("slow.pdf", "error"), ("quick.pdf", "text")}
+
+
 def test_configuration(tmp_path, monkeypatch):
     f = tmp_path / "c.toml"
     f.write_text('store = "~/idx"\n[folders]\npaths = ["."]\n[chunking]\nstrategy = "semantic"\nmax_chunk_tokens = 512\n')
