@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import passes, shingles
-from folioscope.llm.simjoin import JoinParams, can_reach, clean_text, enough_words, hot_pairs, prefixes, shingle_levels
+from folioscope.llm.simjoin import JoinParams, can_reach, hot_pairs, prefixes, shingle_levels, with_key
 from folioscope.operators.components import connected_components
 from folioscope.plans.materialize import broadcast_if_small, materialize
 
@@ -228,7 +228,7 @@ class HistoryIndex:
         batch = batch.where("id is not null")
         self._keys(batch, number)
         copies = self.links(number).where("kind = 'text'").select(F.col("a").alias("id")).distinct()
-        texts = batch.select("id", "text").where(enough_words(self.p)).join(broadcast_if_small(copies), "id", "left_anti")
+        texts = batch.select("id", "text").join(broadcast_if_small(copies), "id", "left_anti")
         seen = Observation()
         sizes = (F.sum(F.when(F.col("part") == i, F.octet_length("token"))).alias(str(i)) for i in range(self.buckets))
         made = entries(texts, self.levels, self.p, number, self.buckets).observe(seen, *sizes)
@@ -247,9 +247,11 @@ class HistoryIndex:
 
     def _keys(self, batch: DataFrame, number: int) -> None:
         """Give each hash of the batch its first owner, in the history or the batch; other documents of the hash link to it."""
-        words = {"text": F.when(enough_words(self.p), clean_text("text"))} | {c: F.col(c) for c in ("raw", "norm") if c in batch.columns}
-        hashes = [F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("key"), F.xxhash64(F.length(x), x).alias("check"))) for kind, x in words.items()]
-        own = batch.select("id", F.explode(F.array_compact(F.array(*hashes))).alias("h")).select("id", "h.*")  # a repeated row repeats its links, which changes no group
+        names = [c for c in ("raw", "norm") if c in batch.columns]
+        own = with_key(batch.select("id", *names, "text"), self.p.shingle)
+        hashes = [F.struct(F.lit("text").alias("kind"), "key", "check"), *(F.struct(F.lit(c).alias("kind"), F.xxhash64(c).alias("key"), F.xxhash64(F.length(c), c).alias("check")) for c in names)]
+        there = [F.when(F.col(c).isNotNull(), h) for c, h in zip(["key", *names], hashes, strict=True)]
+        own = materialize(own.select("id", F.explode(F.array_compact(F.array(*there))).alias("h")).select("id", "h.*"), "keys")  # a repeated row repeats its links, which changes no group
         first, names = own.groupBy("kind", "key", "check").agg(F.min("id").alias("first")), ["kind", "key", "check"]
         known = self._table("keys")
         first = first.withColumn("known", F.lit(None).cast("bigint")) if known is None else first.join(known.where("role = 'own'").select(*names, F.col("owner").alias("known")), names, "left")

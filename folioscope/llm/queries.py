@@ -22,14 +22,14 @@ def _index(spark: SparkSession) -> p1_history.HistoryIndex:
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """The batches in order against the index of those before; groups over the links that were found by text.
 
-    All batches are waiting, so that a step takes up to three times as many as were accepted before it: a backlog of n
+    All batches are waiting, so that a step takes up to four times as many as were accepted before it: a backlog of n
     batches is gone through in log n steps, each of which compares its documents with the index and with each other.
     """
     docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.coalesce("ingest_batch", F.lit(2**31 - 1)).alias("ingest_batch"))
     index, done = _index(spark).start(docs), 0
     waiting = [r[0] for r in docs.select("ingest_batch").distinct().orderBy("ingest_batch").collect()]  # a number for each batch
     while done < len(waiting):
-        step = waiting[done : done + max(1, 3 * done)]
+        step = waiting[done : done + max(1, 4 * done)]
         index.add(docs.where(F.col("ingest_batch").between(step[0], step[-1])))
         done += len(step)
     return simjoin.firsts(index.links().select("a", "b"), docs, ["ingest_batch"]).select(F.col("first_id").alias("first_doc_id"), F.col("id").alias("doc_id"))

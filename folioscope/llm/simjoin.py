@@ -10,16 +10,18 @@ size of the input, hence safe to broadcast. Counts only decide how fast it goes;
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shingles import passes, shingles
+from folioscope.llm.shingles import WORD, passes, shingles
 from folioscope.operators.components import connected_components
 from folioscope.plans.materialize import broadcast_if_small, materialize
 
@@ -49,13 +51,33 @@ def can_reach(na: np.ndarray, pa: np.ndarray, nb: np.ndarray, pb: np.ndarray, t:
     return (np.minimum(na - pa, nb - pb) >= least(t / (1 + t), na + nb)) & (np.minimum(na, nb) >= least(t, np.maximum(na, nb)))
 
 
-def enough_words(p: JoinParams):
-    return F.col("text").rlike("(?U)" + "\\W+".join(["\\w+"] * p.shingle))
+def hash_pair(text: str) -> tuple[int, int]:
+    """128 bits of a text, as two numbers."""
+    h = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def clean_text(column: str):
-    """Texts are copies if they differ in NULs and runs of white space alone."""
-    return F.trim(F.regexp_replace(F.translate(column, "\0", ""), "[ \\t\\r\\n\\f]+", " "))
+def text_key(text: str | None, k: int) -> tuple[int | None, int | None]:
+    """The hash of a text without NULs and with single blanks, so that copies have one key; none for fewer than ``k`` words."""
+    if not text:
+        return None, None
+    text = text.replace("\0", "")
+    if next(itertools.islice(WORD.finditer(text), k - 1, None), None) is None:
+        return None, None
+    return hash_pair(" ".join(text.split()))
+
+
+def with_key(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with its column ``text`` replaced by ``key`` and ``check``, those of :func:`text_key`."""
+    others = [c for c in docs.columns if c != "text"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", key bigint, check bigint"
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [text_key(x, k) for x in batch.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array([x[i] for x in keys], pa.int64()) for i in range(2))], names=[*others, "key", "check"])
+
+    return docs.select(*others, "text").mapInArrow(keyed, ddl)
 
 
 def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
@@ -349,15 +371,15 @@ def bucket_count(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def copies(df: DataFrame, order: list[str]) -> DataFrame:
+def copies(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """``(id, first)`` of every row of ``df(id, text, *order)`` whose text another row has before it.
 
-    Texts are the same here if they differ in NULs and runs of white space alone. Only hashes are shuffled.
+    Texts are the same here if they differ in NULs and runs of white space alone; texts of fewer than ``k`` words have
+    no copies. Only hashes are shuffled.
     """
-    clean = clean_text("text")
-    keyed = df.where("text is not null").select("id", F.xxhash64(clean, F.length(clean)).alias("h"), F.struct(*order, "id").alias("o"))
-    groups = keyed.groupBy("h").agg(F.min("o").alias("o"), F.count("*").alias("c")).where("c > 1").select("h", F.col("o.id").alias("first"))
-    return keyed.select("id", "h").join(groups, "h").where("id <> first").select("id", "first").distinct()
+    keyed = materialize(with_key(df.select("id", *order, "text"), k).where("key is not null").select("id", "key", "check", F.struct(*order, "id").alias("o")), "keys")
+    groups = keyed.groupBy("key", "check").agg(F.min("o").alias("o"), F.count("*").alias("c")).where("c > 1").select("key", "check", F.col("o.id").alias("first"))
+    return keyed.select("id", "key", "check").join(groups, ["key", "check"]).where("id <> first").select("id", "first").distinct()
 
 
 def firsts(links: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
@@ -374,7 +396,7 @@ def near_links(docs: DataFrame, order: list[str], p: JoinParams, prune=None) ->
     Copies are set aside by hash first, so that a text that makes up a third of all rows is joined once.
     ``prune(pairs, texts)`` keeps the candidates worth verifying.
     """
-    same = materialize(copies(docs.where(enough_words(p)), order), "copies")
+    same = materialize(copies(docs, order, p.shingle), "copies")
     single = docs.join(broadcast_if_small(same.select("id")), "id", "left_anti")
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(single, p))
     posted = postings(single, levels, p, bucket_count(docs))
