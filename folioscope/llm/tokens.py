@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: A tiktoken rank file; another path may be given wherever texts are counted.
@@ -42,14 +43,23 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
     return n + len(encoding.encode_ordinary(text))
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with its column ``text`` replaced by ``n_tokens``."""
+    """``docs`` with its column ``text`` replaced by ``n_tokens``; the vocabulary file is sent to the executors."""
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, path) not in _shipped:
+        _shipped.add((context.applicationId, path))
+        context.addFile(path)
+    name = os.path.basename(path)
     others = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", n_tokens int"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = SparkFiles.get(name)
         for batch in batches:
-            n = [count_tokens(t, path) for t in batch.column(len(others)).to_pylist()]
+            n = [count_tokens(t, at) for t in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(n, pa.int32())], names=[*others, "n_tokens"])
 
     return docs.select(*others, "text").mapInArrow(count, schema)
