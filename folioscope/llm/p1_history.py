@@ -331,9 +331,13 @@ class HistoryIndex:
         rows = blocks.mapInArrow(unpack, "token bigint, fresh boolean, id bigint, n int, pos int")
         rows = rows.join(broadcast_if_small(tokens), "token", "left_semi")
         pairs = hot_pairs(rows, connected_components(self.links(), "a", "b"), self.p)
-        return pairs.join(broadcast_if_small(self._read("doc").where(F.col("batch") == number).select(F.col("id").alias("new"))), (F.col("a") == F.col("new")) | (F.col("b") == F.col("new"))).select(
-            F.when(F.col("b") == F.col("new"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("b") == F.col("new"), F.col("a")).otherwise(F.col("b")).alias("b")
-        ).dropDuplicates()
+        fresh = materialize(self._read("doc").where(F.col("batch") == number).select("id").distinct(), "fresh")
+        for end in ("a", "b"):
+            pairs = pairs.join(broadcast_if_small(fresh.select(F.col("id").alias(end), F.lit(True).alias(f"new_{end}"))), end, "left")
+        a, b, both = F.col("a"), F.col("b"), F.col("new_a").isNotNull() & F.col("new_b").isNotNull()
+        new = F.when(both, F.greatest(a, b)).when(F.col("new_a").isNotNull(), a).otherwise(b)
+        old = F.when(both, F.least(a, b)).when(F.col("new_a").isNotNull(), b).otherwise(a)
+        return pairs.where("new_a is not null or new_b is not null").select(new.alias("a"), old.alias("b")).distinct()
 
     def duplicates(self, number: int) -> DataFrame:
         """``(id, duplicate_of, matched_by)`` for each document of batch ``number`` that repeats an accepted or an earlier one of its batch.

@@ -87,9 +87,12 @@ def odd_words(text: str | None) -> list[str]:
     """
     if not text or text.isascii() and "&" not in text:
         return []
-    words = text.encode("utf-8", "replace").translate(_SEPARATORS).split(b" ")
-    found = [w.decode() if not w.isascii() else html.unescape(w.decode()) for w in words if not w.isascii() or (b"&" in w and ENTITY.search(w))]
-    return [w for w in found if not w.isascii()]
+    data = text.encode("utf-8", "replace").translate(_SEPARATORS)
+    words = data.split(b" ")
+    found = [w.decode() for w in words if not w.isascii()]
+    if b"&" in data and ENTITY.search(data):
+        found += [u for w in words if b"&" in w and w.isascii() and ENTITY.search(w) and not (u := html.unescape(w.decode())).isascii()]
+    return found
 
 
 def _pairs(word: str) -> Iterator[str]:
@@ -215,7 +218,7 @@ class Repairer:
         """The number of garbled words in ``text``, and the text with what can be restored."""
         if not any(self.way(w.translate(DIGITS)) for w in odd_words(text)):
             return 0, text
-        found = [m for m in ANY_WORD.finditer(text) if odd_words(m.group())]
+        found = [m for m in ANY_WORD.finditer(text) if not (w := m.group()).isascii() or "&" in w and odd_words(w)]
         ways = [self.way(plain(m.group()).translate(DIGITS)) for m in found]
         n = sum(map(bool, ways))
         out, at = [], 0
