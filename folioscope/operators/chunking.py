@@ -141,22 +141,24 @@ def word_count(text: str) -> int:
 def batches_by_size(rows: DataFrame, group: str, order: list[str], size: Column, limit: int = 80_000) -> DataFrame:
     """``rows`` with ``batch``: filled in order until the next row would take its batch above ``limit``.
 
-    A row above the limit is a batch of its own; null sizes count as 0. Of each group only the order and the sizes are
-    gathered, for one pass over its numbers.
+    A row above the limit is a batch of its own; null sizes count as 0, rows without a group are left out. Only the order and the sizes are shuffled and
+    sorted, by group, for one pass over the numbers.
     """
     sized = rows.withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
 
-    def fill(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, na_position="first").reset_index(drop=True)
-        batches, held, n = [], 0, 0
-        for x in own["_size"].tolist():
-            if held and held + x > limit:
-                n, held = n + 1, 0
-            held += x
-            batches.append(n)
-        return own.assign(batch=batches).drop(columns="_size")
-
-    narrow = sized.select(group, *order, "_size")
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, n, begun = None, 0, 0, False
+        for part in parts:
+            batches = []
+            for g, x in zip(part[group].tolist(), part["_size"].tolist(), strict=True):
+                if not begun or g != last:
+                    last, held, n, begun = g, 0, 0, True
+                if held and held + x > limit:
+                    n, held = n + 1, 0
+                held += x
+                batches.append(n)
+            yield part.drop(columns="_size").assign(batch=batches)
+
+    narrow = sized.where(F.col(group).isNotNull()).select(group, *order, "_size").repartition(group).sortWithinPartitions(group, *order)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_size") + ", batch int"
-    filled = narrow.groupBy(group).applyInPandas(fill, ddl)
-    return sized.drop("_size").join(filled, [group, *order])
+    return sized.drop("_size").join(narrow.mapInPandas(fill, ddl), [group, *order])
