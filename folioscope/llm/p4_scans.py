@@ -23,7 +23,7 @@ from folioscope.plans.materialize import materialize
 class ScanParams:
     """``least_places`` hyphenated or misread places together are noise. A word is misread if a word that looks like
     it is ``ratio`` times as frequent. The vocabulary that is sent to the tasks has ``words`` entries at most: where the
-    corpus has more, the rarest are left out, and a word that is not in it counts as often as these at most may."""
+    corpus has more, the rarest stay in a table, where sections look for what they need of them; this changes no result."""
 
     least_places: int = 3
     ratio: float = 12.0
@@ -76,42 +76,106 @@ def close(a: str, b: str) -> bool:
     return last[-1] <= max(len(a), len(b)) // 8
 
 
+class Unknown(Exception):
+    """Keys of counts that are neither in the vocabulary nor told."""
+
+
 class Vocabulary:
-    """Counts of the corpus's words by :func:`shape`, and for each look the most frequent word."""
+    """Counts of the corpus's words by :func:`shape`, and for each look the most frequent word.
+
+    Words that are not in ``counts`` occur ``floor`` times at most. Where that does not settle a question, the answer
+    follows from ``told``, rows of :func:`rare_words` by key; what is not there is put into ``asked``, and the word is
+    taken for right. What was found of a text holds once nothing of it is asked any more.
+    """
 
     def __init__(self, counts: dict[str, int], p: ScanParams = ScanParams(), floor: int = 0):
-        """Words that are not in ``counts`` may have ``floor`` occurrences; so they are not put right for a word little more frequent."""
         self.n, self.p, self.floor, self.best = counts, p, floor, {}
+        self.told: dict[str, tuple[int, str | None]] = {}
+        self.asked: set[str] = set()
+        self._here: frozenset = frozenset()
         for word in sorted(counts, key=lambda w: (counts[w], w)):
-            self.best[look(self._digits(word))] = word
-        self.reading = functools.lru_cache(300_000)(self._reading)
+            self.best[vague_look(word)] = word
+        self._kept = functools.lru_cache(300_000)(self._reading)  # keeps no exceptions
+        self.reading = self._reading_or_ask if floor else self._kept
 
-    @staticmethod
-    def _digits(word: str) -> str:
-        return word.translate(_ANY_DIGIT)
+    def begin(self, text: str) -> None:
+        """Take up a text of the corpus: its words occur at least once."""
+        self.asked = set()
+        if self.floor:
+            self._here = frozenset(WORD.findall(text.lower()))
 
     def known(self, word: str) -> int:
-        return self.n.get(shape(word), 0)
+        """The count of ``word``; 0 while it is asked."""
+        key = shape(word)
+        if self.floor and key not in self.n:
+            if "n" + key in self.told:
+                return self.told["n" + key][0]
+            self.asked.add("n" + key)
+        return self.n.get(key, 0)
+
+    def occurs(self, word: str) -> bool:
+        return word.lower() in self._here or self.known(word) > 0
+
+    def commoner(self, word: str, other: str) -> bool:
+        """Whether ``word`` is more frequent than ``other``; if one of them is in the vocabulary, the rest is rarer."""
+        a, b = self.n.get(shape(word), 0), self.n.get(shape(other), 0)
+        return a > b if a or b else self.known(word) > self.known(other)
+
+    def _reading_or_ask(self, low: str) -> str | None:
+        try:
+            return self._kept(low)
+        except Unknown as e:
+            self.asked.update(e.args)
+            return None
+
+    def _need(self, *keys: str) -> None:
+        if missing := [k for k in keys if k not in self.told and (k[0] == "l" or k[1:] not in self.n)]:
+            raise Unknown(*missing)
+
+    def _count(self, word: str) -> int:
+        key = shape(word)
+        if key in self.n or not self.floor:
+            return self.n.get(key, 0)
+        self._need("n" + key)
+        return self.told["n" + key][0]
+
+    def _outnumbered(self, low: str, n: int) -> bool:
+        """Whether ``n`` is ``ratio`` times the count of ``low``, and 3 at least."""
+        if n < 3 or low in self._here and n < self.p.ratio:
+            return False
+        return n >= self.p.ratio * self.n.get(shape(low), self.floor) or bool(self.floor) and n >= self.p.ratio * self._count(low)
 
     def _reading(self, low: str) -> str | None:
         """The most frequent word that looks like ``low``, if it is ``ratio`` times as frequent; None if ``low`` is right."""
         if len(low) < 3 or len(low) > 60:
             return None
-        best = self.best.get(look(low))
-        if best is None and any(c.isdigit() for c in low):
-            return self._number(low)
-        if best is None or best == low or not any(c.isalpha() for c in best):
+        like = look(low)
+        best = self.best.get(like)
+        if best is not None:
+            n = self.n[best]
+        else:
+            number = self._as_number(low) if any(c.isdigit() for c in low) else None
+            if self.floor:
+                most = max(self.floor, self.n.get(shape(number), 0) if number else 0)
+                if most < max(3, self.p.ratio * self.n.get(shape(low), low in self._here)):
+                    return None
+                self._need("l" + like, "n" + shape(low), *(["n" + shape(number)] if number else []))
+                n, best = self.told["l" + like]
+            if best is None:
+                return number if number and self._outnumbered(low, self._count(number)) else None
+        if best == low or not any(c.isalpha() for c in best):
             return None
         if len(low) == 3 and len(best) != 3:
             return None
-        return best if self.n[best] >= max(3, self.p.ratio * self.n.get(shape(low), self.floor)) else None
+        return best if self._outnumbered(low, n) else None
 
-    def _number(self, low: str) -> str | None:
-        """A code or number whose digits were read as letters: some reading of its parts has a frequent shape."""
+    @staticmethod
+    def _as_number(low: str) -> str | None:
+        """A code or number whose digits were read as letters, or letters as digits, read the other way."""
         parts = re.split(r"([-‐’'])", low)
         reading = [x.translate(_AS_DIGITS) if any(c.isdigit() for c in x) and all(c in _DIGIT_LIKE for c in x) else x.translate(_AS_LETTERS) for x in parts]
         to = "".join(reading)
-        return to if to != low and self.n.get(shape(to), 0) >= max(3, self.p.ratio * self.n.get(shape(low), self.floor)) else None
+        return to if to != low else None
 
     def correction(self, word: str) -> str | None:
         """The right form of a misread ``word``, in its case; None if it is right or beyond help."""
@@ -126,6 +190,11 @@ class Vocabulary:
         return right[:1].upper() + right[1:] if word[:1].isupper() else right
 
 
+def vague_look(word: str) -> str:
+    """The look of a word of the vocabulary, whose digits are like no letter."""
+    return look(word.translate(_ANY_DIGIT))
+
+
 #: Digits of a known word's shape stand for themselves only as 0; letters read as digits, and the other way. Fixed values.
 _ANY_DIGIT = str.maketrans("0123456789", "\x01" * 10)
 _AS_DIGITS = str.maketrans("lioszbgqí", "110528991")
@@ -208,19 +277,20 @@ def is_header(line: str, headers: frozenset) -> bool:
 def repaired(text: str, headers: frozenset, vocabulary: Vocabulary, p: ScanParams = ScanParams(), rising: bool = False) -> tuple[int, int, int, str]:
     """Numbers of hyphenated words, misread words and furniture lines, and the text as continuous paragraphs.
 
-    A text without enough of them comes back as it is, its misread words uncounted.
+    A text without enough of them comes back as it is, its misread words uncounted. Where ``vocabulary`` leaves words
+    out, ``text`` is one of those it was counted over, and ``vocabulary.asked`` says what this has still to be told.
     """
+    vocabulary.begin(text)
     lines, furniture = body_lines(text, headers, p, rising)
     joined, hyphenated = "\n".join(x.rstrip() for x in lines), 0
 
     def join(m: re.Match) -> str:
         nonlocal hyphenated
         a, b = m.group(1), m.group(2)
-        one, two = vocabulary.known(a + b), vocabulary.known(f"{a}-{b}")
         mark = m.group(0)[len(a)]
-        if mark == "-" and two > one:
+        if mark == "-" and vocabulary.commoner(f"{a}-{b}", a + b):
             return f"{a}-{b}"  # a compound that was wrapped at its own hyphen
-        if one or vocabulary.reading((a + b).lower()) or mark != "-" or not (vocabulary.known(a) and vocabulary.known(b)):
+        if mark != "-" or vocabulary.occurs(a + b) or vocabulary.reading((a + b).lower()) or not (vocabulary.occurs(a) and vocabulary.occurs(b)):
             hyphenated += 1
             return a + b
         return f"{a}-{b}"
@@ -250,9 +320,8 @@ class _Shapes(dict):
         return out
 
 
-def vocabulary_of(sections: DataFrame, p: ScanParams = ScanParams()) -> tuple[dict[str, int], int]:
-    """Word counts over all of ``sections(text)``: of all words if they are no more than ``words``, else of those with
-    more than a number of occurrences, the least one less than a power of two that leaves so few; and this number."""
+def word_counts(sections: DataFrame) -> DataFrame:
+    """``(word, n)`` over all of ``sections(text)``, materialized; words by their :func:`shape`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes = Counter(), _Shapes()
@@ -271,13 +340,38 @@ def vocabulary_of(sections: DataFrame, p: ScanParams = ScanParams()) -> tuple[di
                 yield flush()
         yield flush()
 
-    counted = materialize(sections.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return materialize(sections.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def frequent_words(counted: DataFrame, p: ScanParams = ScanParams()) -> tuple[dict[str, int], int]:
+    """All of ``counted(word, n)`` if it is no more than ``words``, else the words with more than a number of
+    occurrences, the least one less than a power of two that leaves so few; and this number."""
     left = counted.agg(*(F.count_if(F.col("n") >= 1 << i).alias(str(i)) for i in range(48))).head()
     floor = next((1 << i) - 1 for i in range(48) if left[i] <= p.words)
     kept = counted.where(F.col("n") > floor).toPandas()  # p.words rows at most
     return dict(zip(kept.word, kept.n.astype(int), strict=True)), floor
 
 
+def vocabulary_of(sections: DataFrame, p: ScanParams = ScanParams()) -> tuple[dict[str, int], int]:
+    """:func:`frequent_words` of ``sections(text)``."""
+    return frequent_words(word_counts(sections), p)
+
+
+def rare_words(counted: DataFrame, floor: int) -> DataFrame:
+    """``(key, n, word)`` of the words of ``counted(word, n)`` with ``floor`` occurrences at most, materialized: under "n" and a
+    word its count, under "l" and a look the most frequent of them that has it, and its count."""
+
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = pa.array([vague_look(w) for w in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, like], names=["word", "n", "like"])
+
+    rare = counted.where(F.col("n") <= floor).select("word", "n")
+    best = rare.mapInArrow(looks, "word string, n bigint, like string").groupBy("like").agg(F.max(F.struct("n", "word")).alias("m"))
+    own = rare.select(F.concat(F.lit("n"), "word").alias("key"), "n", F.lit(None).cast("string").alias("word"))
+    return materialize(own.unionByName(best.select(F.concat(F.lit("l"), "like").alias("key"), "m.n", "m.word")), "rare")
+
+
 def _blocks(key: str) -> list[str]:
     """Pieces of four characters counted from the start and from the end: keys close to each other share one."""
     return sorted({f"{i}:{key[i : i + 4]}" for i in range(0, len(key) - 3, 4)} | {f"-{i}:{key[len(key) - i - 4 : len(key) - i]}" for i in range(0, len(key) - 3, 4)})
@@ -346,23 +440,44 @@ def scan_noise(sections: DataFrame, titles: DataFrame, p: ScanParams = ScanParam
     none. Null and empty texts and null ids give no row; an empty table gives none; repeated rows of one id count once; a document without a title may
     still have repeated headers. The OCR columns are not looked at, as they may be wrong.
     """
-    context = sections.sparkSession.sparkContext
-    counts = context.broadcast(vocabulary_of(sections, p))
+    counted = word_counts(sections)
+    vocabulary = frequent_words(counted, p)
+    floor, counts = vocabulary[1], sections.sparkSession.sparkContext.broadcast(vocabulary)
     headers = page_edges(sections, titles, p)
     with_lines = F.col("text").contains("\n")
     rows = sections.select("section_id", "doc_id", "text").where("text is not null and section_id is not null")
-    lined = rows.where(with_lines).join(headers, "doc_id", "left").select("section_id", "text", "headers", "rising")
-    plain = rows.where(~with_lines).select("section_id", "text", F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("boolean").alias("rising"))
+    nothing = {"headers": "array<string>", "rising": "boolean", "told": "array<struct<key:string,n:bigint,word:string>>"}
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in nothing.items()}
+    lined = rows.where(with_lines).join(headers, "doc_id", "left").select("section_id", "text", "headers", "rising", none["told"])
+    plain = rows.where(~with_lines).select("section_id", "text", *none.values())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(counts.value[0], p, counts.value[1])
         for batch in batches:
             out = []
-            for key, text, own, rising in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for key, text, own, rising, told in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                vocabulary.told = {x["key"]: (x["n"] or 0, x["word"]) for x in told or ()}
                 h, m, f, new = repaired(text, frozenset(own or ()), vocabulary, p, bool(rising))
-                if h + m >= p.least_places or f:
-                    out.append((key, h, m, f, new))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["section_id", "n_hyphenated", "n_misread", "n_furniture", "repaired"])
-
-    ddl = "section_id string, n_hyphenated int, n_misread int, n_furniture int, repaired string"
-    return lined.mapInArrow(each, ddl).unionByName(plain.mapInArrow(each, ddl)).dropDuplicates(["section_id"])
+                if vocabulary.asked:
+                    out.append((key, None, None, None, None, [*vocabulary.told, *vocabulary.asked], text, own, rising))
+                elif h + m >= p.least_places or f:
+                    out.append((key, h, m, f, new, None, None, None, None))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[*found, "asked", "text", "headers", "rising"])
+
+    found = ["section_id", "n_hyphenated", "n_misread", "n_furniture", "repaired"]
+    ddl = "section_id string, n_hyphenated int, n_misread int, n_furniture int, repaired string, asked array<string>, text string, headers array<string>, rising boolean"
+    tried = lined.mapInArrow(each, ddl).unionByName(plain.mapInArrow(each, ddl))
+    if not floor:
+        return tried.select(found).dropDuplicates(["section_id"])
+    done, rare = [], None
+    while True:  # a section asks again only where what it was told has joined parts of a word; each time for more of its own words
+        tried = materialize(tried, "tried")
+        done.append(tried.where("asked is null").select(found))
+        asking = tried.where("asked is not null")
+        if asking.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done).dropDuplicates(["section_id"])
+        rare = rare_words(counted, floor) if rare is None else rare
+        asked = asking.select("section_id", F.explode("asked").alias("key")).distinct()
+        told = asked.join(rare, "key", "left").groupBy("section_id").agg(F.collect_list(F.struct("key", "n", "word")).alias("told"))
+        tried = asking.select("section_id", "text", "headers", "rising").join(told, "section_id").mapInArrow(each, ddl)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from folioscope.llm.p4_scans import ScanParams, Vocabulary, body_lines, close, line_key, repaired, scan_noise, vocabulary_of
@@ -91,3 +93,45 @@ def test_the_vocabulary_is_whole_or_its_rarest_words_are_left_out(spark):
     df = spark.createDataFrame([("a a a a b b c d",), (None,), ("a b",)], "text string")
     assert vocabulary_of(df) == ({"a": 5, "b": 3, "c": 1, "d": 1}, 0)
     assert vocabulary_of(df, ScanParams(words=2)) == ({"a": 5, "b": 3}, 1)
+
+
+def scans(seed):
+    """Sections whose words have all counts from 1 on, with misread, hyphenated and numbered forms of frequent and rare ones."""
+    rng, letters = random.Random(seed), "aeioudmnrlbhstcwg"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(150)] + ["read-only", "qa-3928", "modern", "archived"]
+    bad = [("m", "rn"), ("d", "cl"), ("u", "ii"), ("h", "b"), ("l", "1"), ("o", "0"), ("e", "c"), ("g", "9"), ("w", "vv")]
+
+    def form(word):
+        kind = rng.random()
+        if kind < 0.08:
+            x, y = rng.choice(bad)
+            return word.replace(x, y)
+        if kind < 0.13 and len(word) > 4:
+            at = rng.randrange(2, len(word) - 1)
+            return word[:at] + rng.choice("--\u00ad") + "\n" + word[at:].lstrip("-")
+        return f"{word}-{rng.choice(words)}" if kind < 0.15 else word.replace("39", "3q") if kind < 0.3 else word
+
+    pick = lambda: words[min(int(rng.paretovariate(0.5)) - 1, rng.randrange(len(words)))]
+    return [(f"s{i}", i // 3, " ".join(form(pick()) for _ in range(rng.randrange(5, 80)))) for i in range(150)]
+
+
+def test_words_that_are_not_sent_change_no_result(spark):
+    titles = spark.createDataFrame([], "doc_id bigint, title string")
+    rare = [("page", 900, "the rnodern\n- 3 -\nhall"), ("many", 901, "the modern hall " * 60), ("three", 902, "tbe rnodern hal1\nthe rnodern hall")]
+    df = spark.createDataFrame([*scans(3), *rare], "section_id string, doc_id bigint, text string")
+    whole = {r.section_id: tuple(r) for r in scan_noise(df, titles).collect()}
+    assert whole["page"][2:] == (1, 1, "the modern hall") and len(whole) > 30
+    for words in (0, 4, 40):
+        assert vocabulary_of(df, ScanParams(words=words))[1] > 0
+        assert {r.section_id: tuple(r) for r in scan_noise(df, titles, ScanParams(words=words)).collect()} == whole, words
+
+
+def test_what_the_vocabulary_lacks_is_asked_and_answered():
+    v = Vocabulary({"modern": 900}, floor=100)
+    assert v.correction("modem") is None and v.asked == {"nmodem"}
+    v.told = {"nmodem": (2, None), "lmodcrn": (0, None)}
+    assert v.correction("modem") == "modern"
+    v = Vocabulary({}, floor=100)
+    assert v.correction("roorn") is None and v.asked == {"nroorn", "l" + "roorn"}
+    v.told = {"nroorn": (1, None), "lroorn": (40, "room")}
+    assert v.correction("Roorn") == "Room"
