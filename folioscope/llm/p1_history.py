@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from folioscope.llm.shingles import passes, shingles
 from folioscope.llm.simjoin import JoinParams, can_reach, hot_pairs, prefixes, shingle_levels, with_key
 from folioscope.operators.components import connected_components
-from folioscope.plans.materialize import broadcast_if_small, materialize
+from folioscope.plans.materialize import broadcast_if_small, materialize, materialize_and_count
 
 #: As TESTDATA.md has it for this data: three words, similarity 0.6.
 NEAR = JoinParams(shingle=3, threshold=0.6)
 EMPTY_FILE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 #: Words of 64 bits of a document's parity sketch.
 PROFILE = 8
+#: Rows of narrow tables that are broadcast at most, and documents with their sketches; of more there is a shuffle join.
+SENT, SENT_DOCS = 1_000_000, 200_000
 ENTRY = {
     "kind": "string", "part": "int", "batch": "int",
     "id": "bigint", "n": "int", "profile": "array<bigint>", "set": "binary",
@@ -226,27 +228,30 @@ class HistoryIndex:
             self._number = -1 if last is None else last
         number = self._number = self._number + 1
         batch = batch.where("id is not null")
-        self._keys(batch, number)
-        copies = self.links(number).where("kind = 'text'").select(F.col("a").alias("id")).distinct()
-        texts = batch.select("id", "text").join(broadcast_if_small(copies), "id", "left_anti")
+        texts = batch.select("id", "text")
+        if n := self._keys(batch, number):
+            copies = self.links(number).where("kind = 'text'").select(F.col("a").alias("id")).distinct()
+            texts = texts.join(F.broadcast(copies) if n <= SENT else copies, "id", "left_anti")
         seen = Observation()
         sizes = (F.sum(F.when(F.col("part") == i, F.octet_length("token"))).alias(str(i)) for i in range(self.buckets))
-        made = entries(texts, self.levels, self.p, number, self.buckets).observe(seen, *sizes)
+        made = entries(texts, self.levels, self.p, number, self.buckets).observe(seen, F.count_if(F.col("kind") == "doc").alias("docs"), *sizes)
         made.write.mode("append").option("compression", "zstd").partitionBy("kind", "part").parquet(f"{self.path}/entries")
-        sizes = {int(part): n // 4 for part, n in seen.get.items() if n}
+        sizes = {part: n for part, n in seen.get.items() if n}
+        docs = sizes.pop("docs", 0)
         if not sizes:
             return number
-        pairs = self._pairs(number, sizes)
-        links = self._verified(pairs.where("hot is null").select("a", "b"), number)
-        links.write.mode("append").partitionBy("role").parquet(f"{self.path}/links")
-        hot = pairs.where("hot is not null")
-        if not hot.isEmpty():
-            more = materialize(self._hot(hot, number), "hot")
-            self._verified(more, number).write.mode("append").partitionBy("role").parquet(f"{self.path}/links")
+        pairs, cold, hot = self._pairs(number, {int(part): n // 4 for part, n in sizes.items()})
+        self._verify(pairs.where("hot is null").select("a", "b"), cold, number, docs)
+        if hot:
+            more, told = materialize_and_count(self._hot(pairs.where("hot is not null"), number), "hot", n=F.count("*"))
+            self._verify(more, told["n"] or 0, number, docs)
         return number
 
-    def _keys(self, batch: DataFrame, number: int) -> None:
-        """Give each hash of the batch its first owner, in the history or the batch; other documents of the hash link to it."""
+    def _keys(self, batch: DataFrame, number: int) -> int:
+        """Give each hash of the batch its first owner, in the history or the batch; other documents of the hash link to it.
+
+        The number of links by text is given back.
+        """
         names = [c for c in ("raw", "norm") if c in batch.columns]
         own = with_key(batch.select("id", *names, "text"), self.p.shingle)
         hashes = [F.struct(F.lit("text").alias("kind"), "key", "check"), *(F.struct(F.lit(c).alias("kind"), F.xxhash64(c).alias("key"), F.xxhash64(F.length(c), c).alias("check")) for c in names)]
@@ -256,11 +261,15 @@ class HistoryIndex:
         known = self._table("keys")
         first = first.withColumn("known", F.lit(None).cast("bigint")) if known is None else first.join(known.where("role = 'own'").select(*names, F.col("owner").alias("known")), names, "left")
         placed = own.join(first, names).select("kind", "key", "check", "id", F.coalesce("known", "first").alias("owner"), F.lit(number).alias("batch"), F.when(F.col("known").isNull() & (F.col("id") == F.col("first")), "own").otherwise("copy").alias("role"))
-        placed.where("role = 'own' or id <> owner").write.mode("append").partitionBy("role").parquet(f"{self.path}/keys")
-
-    def _pairs(self, number: int, sizes: dict[int, int]) -> DataFrame:
-        """``(a, b, hot)``: candidates of the batch, of ``sizes`` postings in each bucket; of a hot list its token instead."""
-        lists, out = self._read("list"), None
+        seen = Observation()
+        placed = placed.where("role = 'own' or id <> owner").observe(seen, F.count_if((F.col("kind") == "text") & (F.col("role") == "copy")).alias("n"))
+        placed.write.mode("append").partitionBy("role").parquet(f"{self.path}/keys")
+        return seen.get.get("n") or 0
+
+    def _pairs(self, number: int, sizes: dict[int, int]) -> tuple[DataFrame, int, int]:
+        """``(a, b, hot)``: candidates of the batch, of ``sizes`` postings in each bucket; of a hot list its token instead.
+        With the numbers of candidates and of hot tokens."""
+        lists, out, cold, hot = self._read("list"), None, 0, 0
         for parts in slices(sizes, self.most):
             there = lists.where(F.col("part").isin(parts))
             fresh: dict[int, list] = {}
@@ -268,10 +277,11 @@ class HistoryIndex:
                 for i, part in enumerate(block.column(0).to_pylist()):
                     fresh.setdefault(part, []).append(_Block.of(block, i))
             sent = self.spark.sparkContext.broadcast({part: _Block.joined(blocks) for part, blocks in fresh.items()})
-            got = materialize(self._probed(there, sent, number).distinct(), "pairs")
+            got, told = materialize_and_count(self._probed(there, sent, number).distinct(), "pairs", n=F.count("*"), hot=F.count("hot"))
             sent.destroy()
+            cold, hot = cold + (told["n"] or 0) - (told["hot"] or 0), hot + (told["hot"] or 0)
             out = got if out is None else out.unionByName(got)
-        return out
+        return out, cold, hot
 
     def _probed(self, lists: DataFrame, fresh, number: int) -> DataFrame:
         p = self.p
@@ -285,22 +295,29 @@ class HistoryIndex:
 
         return lists.select("part", "batch", *PACKED).mapInArrow(probe, "a bigint, b bigint, hot bigint")
 
-    def _verified(self, pairs: DataFrame, number: int) -> DataFrame:
-        """The link rows of the pairs (new, old) that have the threshold's similarity.
+    def _verify(self, pairs: DataFrame, n: int, number: int, n_new: int) -> None:
+        """Keep as links those of the ``n`` pairs (new, old) that have the threshold's similarity; ``n_new`` documents are new.
 
         Parity sketches bound the difference of two sets from below; of what they leave, whole sets are compared, as
         32-bit hashes: two different ones of a pair fall together once in millions of pairs.
         """
+        if not n:
+            return
         docs, t = self._read("doc"), self.p.threshold
         new = docs.where(F.col("batch") == number)
-        near = docs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")).join(broadcast_if_small(pairs), "b")
-        near = near.join(broadcast_if_small(new.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), 200_000), "a")
+        own = new.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+        near = docs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")).join(F.broadcast(pairs) if n <= SENT else pairs, "b")
+        near = near.join(F.broadcast(own) if n_new <= SENT_DOCS else own, "a")
         apart, total = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PROFILE)), F.col("na") + F.col("nb")
-        near = materialize(near.where(total - apart >= 2 * F.ceil(t / (1 + t) * total - 1e-9)).select("a", "b"), "near")
-        told = near.agg(F.count("*").alias("n"), F.collect_set(F.pmod("b", F.lit(self.buckets)).cast("int")).alias("parts")).head()  # buckets numbers at most
-        near = F.broadcast(near) if told.n <= 1_000_000 else near
+        near = near.where(total - apart >= 2 * F.ceil(t / (1 + t) * total - 1e-9)).select("a", "b")
+        part = F.pmod("b", F.lit(self.buckets))
+        near, told = materialize_and_count(near, "near", **{str(i): F.count_if(part == i) for i in range(self.buckets)})
+        parts = [int(i) for i, k in told.items() if k]
+        if not parts:
+            return
+        near = F.broadcast(near) if sum(filter(None, told.values())) <= SENT else near
         left = new.select(F.col("id").alias("a"), F.col("set").alias("xa")).join(near.select("a").distinct(), "a", "left_semi")
-        both = docs.where(F.col("part").isin(told.parts)).select(F.col("id").alias("b"), F.col("set").alias("xb")).join(near, "b").join(left, "a")
+        both = docs.where(F.col("part").isin(parts)).select(F.col("id").alias("b"), F.col("set").alias("xb")).join(near, "b").join(left, "a")
 
         def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -313,7 +330,8 @@ class HistoryIndex:
 
         links = both.select("a", "b", "xa", "xb").mapInArrow(similar, "a bigint, b bigint")
         none = F.lit(None).cast("bigint")
-        return links.select(F.lit("near").alias("kind"), none.alias("key"), none.alias("check"), F.col("a").alias("id"), F.col("b").alias("owner"), F.lit(number).alias("batch"), F.lit("copy").alias("role")).distinct()
+        links = links.select(F.lit("near").alias("kind"), none.alias("key"), none.alias("check"), F.col("a").alias("id"), F.col("b").alias("owner"), F.lit(number).alias("batch"), F.lit("copy").alias("role")).distinct()
+        links.write.mode("append").partitionBy("role").parquet(f"{self.path}/links")
 
     def _hot(self, hot: DataFrame, number: int) -> DataFrame:
         """Candidates of hot lists between documents that no links connect yet, one of them new."""

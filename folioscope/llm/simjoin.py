@@ -107,8 +107,9 @@ def shingle_levels(texts: DataFrame, p: JoinParams) -> np.ndarray:
     ddl = "segment int, counts binary"
     parts = texts.select("text").mapInArrow(count, ddl)
     levels = np.zeros(1 << bits, np.uint8)
-    for row in parts.repartition(16, "segment").mapInArrow(add, ddl).toLocalIterator():  # 2**bits bytes at most, a segment at a time
-        levels[row.segment << seg : (row.segment + 1) << seg] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
+    told = parts.repartition(16, "segment").mapInArrow(add, ddl).toArrow()  # 2**bits bytes at most; in one job
+    for i, blob in zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True):
+        levels[i << seg : (i + 1) << seg] = np.frombuffer(zlib.decompress(blob), np.uint8)
     return levels
 
 

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -41,6 +41,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_and_count(df: DataFrame, label: str, **what: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and the aggregates ``what`` of its rows, taken as they are written: no job of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(c.alias(name) for name, c in what.items())), label)
+    told = seen.get
+    return out, {name: told.get(name) for name in what}
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, otherwise unchanged (a shuffle join).
 

@@ -175,6 +175,20 @@ def test_hashes_link_documents_to_the_first_of_their_group(spark, tmp_path):
     assert [tuple(r) for r in index.duplicates(index.add(again)).collect()] == [(9, 1, "raw_hash")]
 
 
+def test_a_batch_costs_few_jobs(spark, tmp_path):
+    """The plans of a job stay in the driver's memory; counts of what is written come with the writing."""
+    rows = [(i + 1, t) for i, t in enumerate(corpus(6, 20))]
+    index, df = fold(spark, tmp_path, rows[:20], 20)
+    next_job = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    start = next_job()
+    index.add(spark.createDataFrame(rows[20:], "id bigint, text string"))
+    added = next_job()
+    assert added - start <= 22
+    alone = index.add(spark.createDataFrame([(999, " ".join(f"z{i}" for i in range(30)))], "id bigint, text string"))
+    assert next_job() - added <= 10 and index.links(alone).count() == 0
+    assert first_of_groups(index, spark.createDataFrame(rows, "id bigint, text string")) == groups(rows)
+
+
 def test_slices_hold_every_bucket_once():
     assert p1_history.slices({3: 5, 1: 4, 2: 6, 9: 20}, 10) == [[1, 2], [3], [9]] and p1_history.slices({}, 10) == []
 

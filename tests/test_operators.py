@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscope.operators import analysis, chunking, dedup, jsontools, store, summaries, sync, vectors
+from folioscope.operators import analysis, chunking, components, dedup, jsontools, store, summaries, sync, vectors
 from folioscope.operators import retrieval as r
 from folioscope.operators.components import connected_components
 from folioscope.operators.embedding import hash_vectors
@@ -85,6 +85,14 @@ def test_batches_by_size(spark):
     assert [got["g", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["h", 0] == 0
 
 
+def test_components_that_a_node_of_two_smaller_ones_connects(spark):
+    edges = spark.createDataFrame([(5, 1), (5, 3), (6, 2), (6, 3)], "src bigint, dst bigint")
+    assert dict(map(tuple, connected_components(edges).collect())) == {i: 1 for i in (1, 2, 3, 5, 6)}
+    stars = components._own_stars(edges.coalesce(1), most=2)
+    assert components._settled(components._own_stars(edges.coalesce(1))) and not components._settled(edges)
+    assert dict(map(tuple, connected_components(stars).collect())) == {i: 1 for i in (1, 2, 3, 5, 6)}
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
