@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,7 +173,9 @@ class HistoryIndex:
     def start(self, texts: DataFrame) -> HistoryIndex:
         """Fix the rarity order by a count over ``texts(id, text)``: what is at hand when the index begins."""
         levels = shingle_levels(texts, self.p)
-        self.spark.createDataFrame([(levels.tobytes(),)], "levels binary").coalesce(1).write.parquet(f"{self.path}/levels")
+        packed = zlib.compress(levels.tobytes(), 1)  # whole, the table went through the driver's heap several times
+        self.spark.createDataFrame([(packed,)], "levels binary").coalesce(1).write.parquet(f"{self.path}/levels")
+        self._levels = self.spark.sparkContext.broadcast(levels)
         return self
 
     def reordered(self, path: str, texts: DataFrame) -> HistoryIndex:
@@ -189,7 +192,8 @@ class HistoryIndex:
     @property
     def levels(self):
         if self._levels is None:
-            self._levels = self.spark.sparkContext.broadcast(np.frombuffer(self.spark.read.schema("levels binary").parquet(f"{self.path}/levels").head()[0], np.uint8))
+            packed = self.spark.read.schema("levels binary").parquet(f"{self.path}/levels").head()[0]
+            self._levels = self.spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(packed), np.uint8))
         return self._levels
 
     KEYS = "kind string, key bigint, check bigint, id bigint, owner bigint, batch int, role string"

@@ -175,6 +175,13 @@ def test_hashes_link_documents_to_the_first_of_their_group(spark, tmp_path):
     assert [tuple(r) for r in index.duplicates(index.add(again)).collect()] == [(9, 1, "raw_hash")]
 
 
+def test_the_order_is_kept_packed(spark, tmp_path):
+    index, _ = fold(spark, tmp_path, [(1, "a b c d"), (2, "a b c d e")], 2)
+    again = p1_history.HistoryIndex(spark, index.path, buckets=4)  # as a later session opens it
+    assert index.levels.value.any() and np.array_equal(again.levels.value, index.levels.value)
+    assert len(spark.read.parquet(f"{index.path}/levels").head()[0]) < 1_000_000  # of 16 MB
+
+
 def test_a_batch_costs_few_jobs(spark, tmp_path):
     """The plans of a job stay in the driver's memory; counts of what is written come with the writing."""
     rows = [(i + 1, t) for i, t in enumerate(corpus(6, 20))]
